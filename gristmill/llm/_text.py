@@ -21,11 +21,15 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WEIGHT = {
-    low: ((table := (_LOWER if low else np.arange(256, dtype=np.uint8))).astype(np.uint64) + np.uint64(1))
-    * (~_SEP[table]).astype(np.uint64)
-    for low in (True, False)
-}
+#: Separators where a word is a run of ASCII letters and of bytes of other characters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
+
+
+def _weight(lower: bool, sep: np.ndarray) -> np.ndarray:
+    """What each byte adds to a word's key; separators add nothing."""
+    value = _LOWER if lower else np.arange(256, dtype=np.uint8)
+    return (value.astype(np.uint64) + np.uint64(1)) * (~sep).astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,11 +93,11 @@ class Words:
     key: 64-bit hash of each word, of its A-Z lower-cased form if `lower`.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, sep: np.ndarray = _SEP):
         self.doc_off, self.raw = string_buffers(column)
         self.n = len(self.doc_off) - 1
         size = len(self.raw)
-        word = ~_SEP[self.raw]
+        word = ~sep[self.raw]
         edge = np.zeros(size + 1, bool)
         edge[self.doc_off] = True
         first = word.copy()
@@ -106,7 +110,8 @@ class Words:
         self.ptr = np.searchsorted(self.start, self.doc_off).astype(np.int64)
         self.counts = np.diff(self.ptr)
         self.doc = np.repeat(np.arange(self.n, dtype=np.int64), self.counts)
-        self.key = self._keys(_WEIGHT[lower])
+        self.weight = _weight(lower, sep)
+        self.key = self._keys(self.weight)
 
     def _keys(self, weight: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.start), np.uint64)
@@ -124,6 +129,15 @@ class Words:
             lo = hi
         return mix(out)
 
+    def prefix_keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, key of its first `size` bytes) of the words that are longer than that."""
+        at = np.flatnonzero(self.end - self.start > size)
+        table = _pow_table(size + 2)
+        value = np.full(len(at), table[size + 1], np.uint64)
+        for k in range(size):
+            value += self.weight[self.raw[self.start[at] + k]] * table[k + 1]
+        return at, mix(value)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, 64-bit key) of every run of n words inside a text."""
         total = len(self.key)

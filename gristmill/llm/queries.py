@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import language, quality, toxicity
 
 QUERIES = {
     "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op10_language": language.op10_language,
 }
 
 ORACLES = {
