@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, quality, toxicity
+from . import language, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_mixing": mixing.op7_mixing,
     "op10_language": language.op10_language,
 }
 
