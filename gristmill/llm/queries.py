@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, toxicity
+from . import fingerprint, language, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
