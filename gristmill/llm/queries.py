@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, packing, quality, toxicity
+from . import fingerprint, language, mixing, ngram_model, packing, quality, toxicity
 
 QUERIES = {
     "op2_fingerprint": fingerprint.op2_fingerprint,
+    "op3_ngram_score": ngram_model.op3_ngram_score,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
