@@ -24,8 +24,9 @@ from ._text import Words, slabs
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words that a task remembers; a full memory is emptied, which changes no result.
-MEMORY_WORDS = 400_000
+#: Distinct words that a process remembers; a full memory is emptied, which changes no result.
+MEMORY_WORDS = 1_500_000
+_MARK = "|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,39 +52,69 @@ class WordTokenizer:
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: Words, at: np.ndarray, keys: np.ndarray) -> None:
-        texts = [words.word_bytes(i).decode("utf-8", "replace") for i in at]
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each); words are joined by a mark to save calls."""
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        marked = np.array([_MARK in t for t in texts])
+        if len(mark) == 1 and not marked.any():
+            lines = [f" {_MARK} ".join([*texts[i : i + 1000], ""]) for i in range(0, len(texts), 1000)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == mark[0])
+            if len(ends) == len(texts):
+                return flat[flat != mark[0]], np.diff(ends, prepend=-1) - 1
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(size.sum()))
-        first = len(self.ids) + np.cumsum(size) - size
-        order = np.argsort(np.concatenate([self.keys, keys]))
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        return np.fromiter((i for e in encoded for i in e), np.uint32, int(size.sum())), size
+
+    def _learn(self, words: Words, at: np.ndarray, keys: np.ndarray) -> None:
+        texts = np.array([words.word_bytes(i).decode("utf-8", "replace") for i in at], object)
+        marked = np.array([_MARK in t for t in texts])
+        for of in (marked, ~marked):
+            if not of.any():
+                continue
+            order = np.argsort(keys[of])
+            new = keys[of][order]
+            flat, size = self._encode_words(texts[of][order].tolist())
+            place = np.searchsorted(self.keys, new)
+            self.first = np.insert(self.first, place, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place, size)
+            self.keys = np.insert(self.keys, place, new)
+            self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, offsets of n + 1 texts), without end ids."""
         words = Words(column, lower=False)
-        unique, at, inverse = np.unique(words.key, return_index=True, return_inverse=True)
+        coded = pa.array(words.key).dictionary_encode()
+        unique, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if len(self.keys) > MEMORY_WORDS:
             self._empty()
-        place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
+            place = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            known = self.keys[place] == unique
         if not known.all():
-            self._learn(words, at[~known], unique[~known])
-            place = np.searchsorted(self.keys, unique)
+            seen_at = np.zeros(len(unique), np.int64)
+            seen_at[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+            self._learn(words, seen_at[~known], unique[~known])
+        place = np.searchsorted(self.keys, unique)
         size = self.size[place][inverse]
-        source = np.repeat(self.first[place][inverse], size)
-        begin = np.cumsum(size) - size
-        ids = self.ids[source + np.arange(int(size.sum())) - np.repeat(begin, size)]
-        return ids, np.concatenate([[0], np.cumsum(size)])[words.ptr]
+        stop = np.cumsum(size, dtype=np.int64)
+        source = np.repeat(self.first[place][inverse] - (stop - size), size)
+        source += np.arange(len(source))
+        return self.ids[source], np.concatenate([[0], stop])[words.ptr]
+
+
+_TOOLS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The process's tokenizer for this file; what it has learned serves later tasks too."""
+    if path not in _TOOLS:
+        _TOOLS[path] = WordTokenizer(path)
+    return _TOOLS[path]
 
 
 def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -99,7 +130,7 @@ def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, task, given = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tool, task, given = word_tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             column = batch.column(len(keep))
             for lo, hi in slabs(column):
@@ -107,7 +138,9 @@ def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 n = np.diff(off) + 1
                 end = np.cumsum(n)
                 stream = np.full(int(end[-1]), end_id, "<u4")
-                stream[np.delete(np.arange(len(stream)), end - 1)] = ids
+                inner = np.ones(len(stream), bool)
+                inner[end - 1] = False
+                stream[inner] = ids
                 raw = pa.py_buffer(stream.tobytes())
                 bounds = pa.py_buffer(np.concatenate([[0], end * 4]).astype(np.int32).tobytes())
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, bounds, raw])
