@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, ngram_model, packing, quality, toxicity
+from . import fingerprint, language, mixing, ngram_model, packing, quality, substring, toxicity
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_ngram_score": ngram_model.op3_ngram_score,
     "op4_packing": packing.op4_packing,
