@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, ngram_model, packing, quality, substring, toxicity
+from . import fingerprint, jaccard, language, mixing, ngram_model, packing, quality, substring, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -12,9 +12,11 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_language": language.op10_language,
 }
 
 ORACLES = {
+    "op9_jaccard": jaccard.OP9_SQL,
     "op5_quality": quality.OP5_SQL,
 }
