@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, language, mixing, ngram_model, packing, quality, substring, toxicity
+import corpus_pipeline
+
+from . import fingerprint, jaccard, language, license_scan, mixing, ngram_model, packing, quality, substring, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -12,8 +14,10 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_license": license_scan.op8_license,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_language": language.op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
