@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCE = re.compile(r"```(?:json)?(.*?)```", re.DOTALL | re.IGNORECASE)
 
@@ -40,11 +41,10 @@ def json_object(text: str | None) -> str | None:
     return text[first:]
 
 
-@F.pandas_udf("string")
 def _recover(texts: pd.Series) -> pd.Series:
     return texts.map(json_object, na_action="ignore")
 
 
 def recovered_json(c: Column) -> Column:
     """json_object of a column, in Arrow batches."""
-    return _recover(c)
+    return F.pandas_udf(_recover, T.StringType())(c)

@@ -43,7 +43,7 @@ def no_age(c: Column) -> Column:
 
 def no_cell(c: Column) -> Column:
     """As a join key or a cell to fill: null or exactly empty."""
-    return F.coalesce(c == "", F.lit(True))
+    return F.coalesce(c.cast("string") == "", F.lit(True))
 
 
 def no_sample(c: Column) -> Column:

@@ -41,7 +41,7 @@ def merge_warnings(values: DataFrame, ids: DataFrame) -> DataFrame:
 def subgroup_of(values: Column, subgroups: Column) -> Column:
     """The subgroup that the first fitting value of a record names, case and plural aside."""
     keys = F.transform(subgroups, subgroup_key)
-    named = F.filter(F.transform(F.map_values(values), lambda v: F.try_element_at(subgroups, F.array_position(keys, subgroup_key(v)).cast("int"))), lambda x: x.isNotNull())
+    named = F.filter(F.transform(F.map_values(values), lambda v: F.get(subgroups, F.array_position(keys, subgroup_key(v)).cast("int") - 1)), lambda x: x.isNotNull())
     return F.get(named, F.lit(0))
 
 
@@ -66,8 +66,9 @@ def fan_out(samples: DataFrame, study_fields: DataFrame, subgroups: DataFrame |
         return F.struct(f["field"].alias("key"), F.when(not_fanned(own), value).alias("value"))
 
     given = F.filter(F.transform(F.coalesce("fields", F.array().cast(joined.schema["fields"].dataType)), filled), lambda x: x["value"].isNotNull())
-    merged = F.map_zip_with(F.col("values"), F.map_from_entries(given), lambda k, x, y: F.coalesce(y, x))
-    return joined.select("study", "row_idx", merged.alias("values"), F.size(given).cast("bigint").alias("n_written"))
+    given_map = joined.withColumn("given", F.map_from_entries(given))
+    merged = F.map_zip_with("values", "given", lambda k, x, y: F.coalesce(y, x))
+    return given_map.select("study", "row_idx", merged.alias("values"), F.size("given").cast("bigint").alias("n_written"))
 
 
 def bounded_ages(records: DataFrame) -> DataFrame:
