@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ages, missing, narrative, strings, values
 from ..functions.markup import flattened
-from ..operators import accessions, evaluate, joins, mapping, profile, records, rescore
+from ..operators import accessions, evaluate, joins, mapping, profile, records, rescore, tables
 from ..sources import grid as grids
 from ..sources.schema import Field, Schema
 from . import table_plan
@@ -702,3 +702,88 @@ def identifier_parse(spark, d):
     text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("PMID: "), F.col("o_custkey").cast("string"))).when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))
     raw = text.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("pmcid:PMC"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit(" pmc"), F.col("o_custkey").cast("string")))
     return o.select(strings.identifier(raw).alias("x")).select("x.*").distinct()
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand FROM part)
+SELECT p_partkey AS id, brand FROM p""")
+def drop_missing_columns(spark, d):
+    p = _t(spark, d, "part")
+    brand = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("NA")
+    wide = p.select(F.col("p_partkey").alias("id"), brand.alias("brand"), F.lit("not_reported").alias("never"), F.lit(" ").alias("blank"))
+    return tables.without_missing(wide, ("id",))
+
+
+@query("""
+SELECT c_nationkey AS k, c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_mktsegment END AS segment, r_name AS area
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def precedence_join(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    study = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("segment"), F.col("r_name").alias("area"))
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", " NaN").otherwise(F.col("c_mktsegment"))
+    samples = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), segment.alias("segment"))
+    return tables.precedence(samples, study, "k")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, extract(month FROM o_orderdate) % 3 + 1 AS run, count(*) AS n FROM orders GROUP BY ALL),
+w AS (SELECT o_custkey AS study, max(n) FILTER (run = 1) AS run1, max(n) FILTER (run = 2) AS run2, max(n) FILTER (run = 3) AS run3 FROM r GROUP BY o_custkey)
+SELECT study, coalesce(run1, 0) AS run1, coalesce(run2, 0) AS run2, coalesce(run3, 0) AS run3, ((run1 IS NOT NULL)::INT + (run2 IS NOT NULL)::INT + (run3 IS NOT NULL)::INT)::BIGINT AS n_runs, coalesce(run3, run2, run1) AS last FROM w""")
+def run_counts(spark, d):
+    o = _t(spark, d, "orders").withColumn("run", F.month("o_orderdate") % 3 + 1)
+    runs = o.groupBy(F.col("o_custkey").alias("study"), "run").agg(F.count("*").alias("n"))
+    return tables.run_counts(runs, "study", "run", "n", [1, 2, 3]).na.fill(0)
+
+
+@query("""
+SELECT 'model ' || m AS model, k AS repeat, n_name AS study FROM nation, (VALUES ('a'), ('b')) t(m), (VALUES (1), (2), (3)) u(k)""")
+def task_grid(spark, d):
+    grid = tables.tasks(("model", ["model a", "model b"]), ("repeat", [1, 2, 3]))
+    return _t(spark, d, "nation").select(F.inline(grid), F.col("n_name").alias("study"))
+
+
+@query("""
+WITH c AS (SELECT l_returnflag AS study, l_linestatus AS field, count(*) FILTER (l_discount < 0.03) AS tn, count(*) FILTER (l_discount BETWEEN 0.03 AND 0.05) AS tp_correct,
+  count(*) FILTER (l_discount > 0.05 AND l_discount < 0.08) AS tp_wrong, count(*) FILTER (l_discount >= 0.08) AS fn, 0::BIGINT AS fp FROM lineitem GROUP BY ALL),
+s AS (SELECT field, sum(tn)::BIGINT AS tn, sum(tp_correct)::BIGINT AS tp_correct, sum(tp_wrong)::BIGINT AS tp_wrong, sum(fn)::BIGINT AS fn, sum(fp)::BIGINT AS fp FROM c GROUP BY field),
+q AS (SELECT *, (tp_correct + tp_wrong) / nullif(tp_correct + tp_wrong + fp, 0)::DOUBLE AS p, (tp_correct + tp_wrong) / nullif(tp_correct + tp_wrong + fn, 0)::DOUBLE AS r FROM s)
+SELECT field, tn, tp_correct, tp_wrong, fn, fp, p, r, tp_correct / nullif(tp_correct + tp_wrong, 0)::DOUBLE AS value_accuracy, CASE WHEN p <> 0 AND r <> 0 THEN 2 * p * r / (p + r) END AS f1 FROM q""")
+def field_totals(spark, d):
+    x = F.col("l_discount")
+    verdict = F.when(x < 0.03, "TN").when(x <= 0.05, "TP_correct").when(x < 0.08, "TP_wrong").otherwise("FN")
+    cells = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("study"), F.col("l_linestatus").alias("field"), verdict.alias("decision"))
+    by_study = cells.groupBy("study", "field").agg(*evaluate.counted())
+    return evaluate.strict_ratios(tables.totals(by_study, ["field"], evaluate.COUNTS))
+
+
+@query("SELECT sample_id, min(i) AS row_idx FROM (SELECT o_orderkey AS i, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE 'c' || o_custkey END AS sample_id FROM orders) WHERE sample_id IS NOT NULL GROUP BY sample_id")
+def sample_discovery(spark, d):
+    o = _t(spark, d, "orders")
+    name = F.when(F.col("o_custkey") % 20 == 0, "not_reported").when(F.col("o_custkey") % 10 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    return records.sample_ids(o.select(F.col("o_orderkey").alias("row_idx"), _map(sample_id=name).alias("values")))
+
+
+@query("""
+SELECT doc_id, kind, n FROM (SELECT doc_id, 'top' AS kind, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS k FROM (SELECT doc_id, source, n_chars AS n FROM documents)) WHERE k = 1""")
+def ranked_candidates(spark, d):
+    rows = _t(spark, d, "documents").select("source", F.col("doc_id").alias("rung"), F.col("n_chars").alias("score"), F.lit(True).alias("is_body"))
+    return accessions.best_candidate(rows, "source").select(F.col("rung").alias("doc_id"), F.lit("top").alias("kind"), F.col("score").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT source, doc_id, n_chars, max(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM documents)
+SELECT source, doc_id FROM l WHERE b IS NULL OR b < 5000""")
+def ladder_replay(spark, d):
+    rows = _t(spark, d, "documents").select("source", F.col("doc_id").alias("rung"), F.col("n_chars").cast("double").alias("score"), F.lit(True).alias("is_body"))
+    return accessions.ladder(rows, "source", 5000.0).select("source", F.col("rung").alias("doc_id"))
+
+
+@query("""
+SELECT user_id::VARCHAR AS sample_id, event_type AS field, CASE WHEN count(DISTINCT value) > 1 THEN 'differs' ELSE 'agrees' END AS state FROM events
+WHERE user_id < (SELECT max(c_custkey) FROM customer) + 1 GROUP BY ALL""")
+def batch_agreement(spark, d):
+    ids = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"))
+    e = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("sample_id"), F.col("event_id").alias("batch"), F.col("event_type").alias("field"), "value")
+    merged = records.merge_batches(e.join(ids, "sample_id", "left_semi"), e.select("sample_id"))
+    counts = e.groupBy("sample_id", "field").agg(F.countDistinct("value").alias("n"))
+    return merged.where("field IS NOT NULL").join(ids, "sample_id", "left_semi").join(counts, ["sample_id", "field"]).select("sample_id", "field", F.when(F.col("n") > 1, "differs").otherwise("agrees").alias("state"))
