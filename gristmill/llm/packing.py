@@ -25,7 +25,9 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words that a process remembers; a full memory is emptied, which changes no result.
-MEMORY_WORDS = 1_500_000
+MEMORY_WORDS = 1_000_000
+#: Tokens that one step of a task handles at once.
+STEP_TOKENS = 1 << 19
 _MARK = "|"
 
 
@@ -117,13 +119,19 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _TOOLS[path]
 
 
+def width_of(path: str) -> int:
+    """Bytes that hold any id of this tokenizer."""
+    return 2 if word_tokenizer(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+
 def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row for each document: `keep`, ids (little-endian unsigned 16 or 32-bit), n, task, place.
+    """One row for each document: `keep`, ids (little-endian, `width_of(path)` bytes each), n, task, place.
 
     place is the number of tokens that the task gave out before; a null or
     empty text has the end id alone.
     """
     path = path or tokenizer_path()
+    width = width_of(path)
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType(
         [*fields, T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("task", T.LongType()), T.StructField("place", T.LongType())]
@@ -141,8 +149,8 @@ def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 inner = np.ones(len(stream), bool)
                 inner[end - 1] = False
                 stream[inner] = ids
-                raw = pa.py_buffer(stream.tobytes())
-                bounds = pa.py_buffer(np.concatenate([[0], end * 4]).astype(np.int32).tobytes())
+                raw = pa.py_buffer(stream.astype(f"<u{width}").tobytes())
+                bounds = pa.py_buffer(np.concatenate([[0], end * width]).astype(np.int32).tobytes())
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, bounds, raw])
                 arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 arrays += [packed, pa.array(n), pa.array(np.full(len(n), task, np.int64)), pa.array(given + end - n)]
@@ -169,6 +177,8 @@ def pack(
     order of documents is that of the tasks that read them; repeated rows and
     null keys are packed like any other, a null or empty text as its end id.
     """
+    path = path or tokenizer_path()
+    width = width_of(path)
     stored = materialize(tokenize(docs, text, (key,), path, end_id), "tokens")
     totals = {r.task: r.n for r in stored.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # a row a task
     tasks = np.array(sorted(totals), np.int64)
@@ -181,30 +191,35 @@ def pack(
         ]
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batch: pa.RecordBatch, n: np.ndarray) -> pa.RecordBatch:
         from zlib import crc32
 
+        begin = base[np.searchsorted(tasks, batch.column(3).to_numpy())] + batch.column(4).to_numpy()
+        sequence = begin // window
+        pieces = (begin + n - 1) // window - sequence + 1
+        row = np.repeat(np.arange(len(n)), pieces)
+        which = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = np.maximum(begin[row], (sequence[row] + which) * window)
+        to = np.minimum((begin + n)[row], (sequence[row] + which + 1) * window)
+        start, length = at - begin[row], to - at
+        docs_ids = [np.frombuffer(b.as_buffer(), f"<u{width}").astype("<u4") for b in batch.column(1)]
+        parts = [docs_ids[r][s : s + m] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())]
+        arrays = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array([crc32(p) for p in parts], pa.int64())]
+        arrays += [pa.array(n[row]), pa.array(at // window), pa.array(at % window)]
+        if with_ids:
+            bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             n = batch.column(2).to_numpy()
-            begin = base[np.searchsorted(tasks, batch.column(3).to_numpy())] + batch.column(4).to_numpy()
-            sequence = begin // window
-            pieces = (begin + n - 1) // window - sequence + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            which = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            at = np.maximum(begin[row], (sequence[row] + which) * window)
-            to = np.minimum((begin + n)[row], (sequence[row] + which + 1) * window)
-            start, length = at - begin[row], to - at
-            blobs = [memoryview(b.as_buffer()) for b in batch.column(1)]
-            parts = [blobs[r][4 * s : 4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())]
-            arrays = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array([crc32(p) for p in parts], pa.int64())]
-            arrays += [pa.array(n[row]), pa.array(at // window), pa.array(at % window)]
-            if with_ids:
-                ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-                bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)))
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            total = np.cumsum(n)
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + STEP_TOKENS, "right")))
+                yield pieces_of(batch.slice(lo, hi - lo), n[lo:hi])
+                lo = hi
 
     return stored.mapInArrow(cut, schema)
 
