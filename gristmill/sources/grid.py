@@ -131,10 +131,10 @@ def ingest_log(parts: DataFrame) -> DataFrame:
     return parts.where("row_idx IS NULL").select("name", "status", "reason")
 
 
-def texts(parts: DataFrame) -> DataFrame:
+def texts(parts: DataFrame, source: str = "local") -> DataFrame:
     """(name, block): texts with a line before them that names their file."""
     rows = parts.where("status = 'text'")
-    return rows.select("name", F.concat(F.lit("--- SUPPLEMENTARY FILE: "), F.col("name"), F.lit(" ---\n"), F.col("text")).alias("block"))
+    return rows.select("name", F.format_string(f"--- SUPPLEMENTARY FILE: %s (source: {source}) ---\n%s", "name", strip(F.col("text"))).alias("block"))
 
 
 def first_by_basename(files: DataFrame, name: str = "name", priority: str = "priority") -> DataFrame:

@@ -37,7 +37,7 @@ def test_files_become_grids(spark, tmp_path):
     assert log["a.csv"] == ("table", None) and log["p.png"][0] == "skipped" and "BadZipFile" in log["bad.xlsx"][1]
     rows = {(r.table_id, r.row_idx): r.cells for r in grid.grids(parts).collect()}
     assert rows["a.csv", 1] == ["x\ny", "gut", "more"] and rows["a.csv", 2][0] == "�" and rows["c.xlsx::two", 1] == ["2"] and rows["b.tsv", 1] == ["1", "2"]
-    assert grid.texts(parts).first().block == "--- SUPPLEMENTARY FILE: n.txt ---\nwords"
+    assert grid.texts(parts).first().block == "--- SUPPLEMENTARY FILE: n.txt (source: local) ---\nwords"
 
 
 @pytest.mark.parametrize(
@@ -125,12 +125,13 @@ def test_stored_answers_become_records(spark):
 
 def test_schemas():
     linkml = """
-classes: {sample: {slots: [sex, age, tags, free]}}
-slots: {sex: {range: SexEnum, required: true}, age: {range: integer, description: years}, tags: {range: SexEnum, multivalued: true}, free: {range: DynEnum}}
-enums: {SexEnum: {permissible_values: {male: {description: m}, yes: {description: .nan}}}, DynEnum: {reachable_from: {}}}
+classes: {sample: {slots: [sex, age, tags, free], attributes: {own: {range: bool}}}}
+slots: {sex: {range: SexEnum, required: true}, age: {range: integer, description: years, unit: a}, tags: {range: SexEnum, multivalued: true}, free: {range: DynEnum, description: .nan}}
+enums: {SexEnum: {permissible_values: {male: {description: m, meaning: "X:1"}, other: }}, DynEnum: {reachable_from: {}}}
 """
     s = schema.parse(linkml, "x.yaml")
-    assert [f.type for f in s.fields] == ["enum", "number", "list", "string"] and s.fields[0].allowed_values == ("male", "Yes") and s.fields[0].required
+    assert [f.type for f in s.fields] == ["enum", "number", "list", "string", "boolean"] and s.fields[0].allowed_values == ("male", "other") and s.fields[0].required
+    assert s.fields[0].value_descriptions == {"male": "m (X:1)"} and [f.description for f in s.fields] == ["sex", "years", "tags", "free", "own"] and s.fields[1].unit == "a"
     assert len(schema.Schema.of([{"name": f"f{i}"} for i in range(65)]).batches()) == 3
     assert schema.parse('[{"name": "a", "type": "number"}]', "x.unknown").names == ["a"]
     for bad in ('{"fields": []}', '{"x": 1}', '[{"name": "a", "type": "enum"}]', "{"):
