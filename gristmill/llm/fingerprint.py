@@ -17,7 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +128,18 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+def _bounds_above(x: Column, bounds: list[float]) -> Column:
+    """How many of the falling bounds are above x, in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    whole = F.size(F.filter(F.array(*[F.lit(g[-1]) for g in groups]), lambda b: x < b))
+    inner = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), whole)
+    last = F.when(whole == len(groups), F.lit(len(bounds)))
+    return last.otherwise(whole * step + F.size(F.filter(inner, lambda b: x < b)))
+
+
 def _dealt_in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Rows in ranges of descending key: range, tail, rank, doc_id, text.
 
@@ -141,8 +153,7 @@ def _dealt_in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     bounds = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     above = sorted(set(bounds), reverse=True)
-    cuts = F.array(*[F.lit(b) for b in above]) if above else F.array().cast("array<double>")
-    by_id = F.size(F.filter(cuts, lambda b: F.col("doc_id").cast("double") < b))
+    by_id = _bounds_above(F.col("doc_id").cast("double"), above)
     by_hash = F.lit(len(above) + 1) + F.floor(F.col("h") / 2.0**64 * ranges + ranges / 2)
     ranked = rows.withColumn("h", F.xxhash64("text")).withColumns(
         {

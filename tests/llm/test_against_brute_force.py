@@ -132,6 +132,16 @@ def test_fingerprints_of_neighbours(spark, small):
     assert sum(x > 0.3 for x in near) >= 0.98 * len(near) and np.median([r.near_next for r in got.values()]) < 0.05
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 10, 50])
+def test_bounds_are_counted_in_two_steps(spark, n):
+    from pyspark.sql import functions as F
+
+    bounds = [float(3 * k) for k in range(n, 0, -1)]
+    xs = [float(v) for v in range(-1, 3 * n + 4)]
+    got = spark.createDataFrame([(v,) for v in xs], "x double").select("x", fingerprint._bounds_above(F.col("x"), bounds).alias("k")).collect()
+    assert {r.x: r.k for r in got} == {v: sum(b > v for b in bounds) for v in xs}
+
+
 def test_likeness_follows_the_edit():
     rng = random.Random(3)
     text = sentences(rng, 80).encode()
