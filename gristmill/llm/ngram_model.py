@@ -3,8 +3,10 @@
 Counts of all words and word pairs of the training texts are quantised on a
 logarithmic scale.  An n-gram of level j is put into a Bloom filter together
 with each of the levels 1..j, so its count is read back by probing the levels
-in turn until one is missing.  The filter has a fixed largest size and is
-broadcast; interpolated probabilities come from its answers.
+in turn until one is missing.  The filter grows with the counted n-grams and is
+broadcast in pages of a fixed largest size, one at a time: where there is more
+than one, passes over the texts note the levels page by page.  Interpolated
+probabilities come from the filter's answers.
 
 Exact word counts serve the base score: the most frequent words (a bounded
 number) are looked up in the scoring pass, all others by a join.
@@ -13,7 +15,7 @@ number) are looked up in the scoring pass, all others by a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import materialize
-from ._text import Words, mix, slabs
+from ._store import discard, materialize
+from ._text import Words, mix, slabs, string_buffers
 
-#: Largest filter (bits), the same at every size of input.
+#: Largest page of the filter (bits): what a worker holds at a time.
 FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 19
 PROBES = 6
@@ -152,16 +154,27 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield batch.column(0)[i].as_py(), keys, np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
 
 
+def segment_of(key: np.ndarray, n_segments: int) -> np.ndarray:
+    """The segment of every key, by its leading bits."""
+    return (((key >> np.uint64(32)) * np.uint64(n_segments)) >> np.uint64(32)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class BloomCounts:
-    """The filter: bits of all segments, and log2 of their number."""
+    """A page of the filter: bits of the segments from `first` on, and the number of segments of the whole filter."""
 
     bits: np.ndarray
-    log_segments: int
+    n_segments: int
+    first: int = 0
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """Whether this page tells the level of each key."""
+        at = segment_of(key, self.n_segments) - self.first
+        return (at >= 0) & (at < len(self.bits) * 8 // SEGMENT_BITS)
 
     def _hit(self, key: np.ndarray, level: np.ndarray | int) -> np.ndarray:
         at = np.arange(len(key))
-        base = (key >> np.uint64(64 - self.log_segments)).astype(np.int64) * SEGMENT_BITS if self.log_segments else np.zeros(len(key), np.int64)
+        base = (segment_of(key, self.n_segments) - self.first) * SEGMENT_BITS
         for place in positions(key, level):
             spot = base[at] + place[at]
             at = at[(self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
@@ -170,9 +183,9 @@ class BloomCounts:
         return out
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Level of every key: probes of level 1, 2, ... until one misses."""
+        """Level of every key of this page, 0 for others: probes of level 1, 2, ... until one misses."""
         level = np.zeros(len(key), np.int64)
-        at, j = np.arange(len(key)), 0
+        at, j = np.flatnonzero(self.holds(key)), 0
         while len(at):
             j += 1
             at = at[self._hit(key[at], j)]
@@ -188,79 +201,130 @@ def positions(key: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
         yield ((entry + np.uint64(i) * step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
 
 
-def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> BloomCounts:
-    """The filter of all counted n-grams.
-
-    Where they would need more than FILTER_BITS, the pairs of the lowest levels
-    stay out, then words of the lowest levels; what stays out is scored by the
-    word model, and exact word counts do not come from here.
-    """
-    spark = counts.sparkSession
-    need = {k: v[0] * k[1] * BITS_PER_ENTRY for k, v in hist.items()}
-    lowest = {1: 1, 2: 1}
-    while sum(b for (o, j), b in need.items() if j >= lowest[o]) > FILTER_BITS:
-        top = max((j for o, j in need if o == 2), default=0)
-        order = 2 if lowest[2] <= top else 1
-        lowest[order] += 1
-    total = sum(b for (o, j), b in need.items() if j >= lowest[o])
-    log_segments = int(max(0, min(np.log2(_BUCKETS), np.ceil(np.log2(max(1.0, total / SEGMENT_BITS))))))
+def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> tuple[BloomCounts, DataFrame | None]:
+    """The first page of the filter of all counted n-grams; where there are more pages, also the table of all segments."""
+    total = sum(v[0] * j * BITS_PER_ENTRY for (_, j), v in hist.items())
+    n_segments = 1 << int(np.ceil(np.log2(max(1.0, total / SEGMENT_BITS))))
+    if n_segments > _page():
+        n_segments = _page() * int(np.ceil(total / FILTER_BITS))
+    # segments that one group fills, so that rows of few keys do not multiply
+    together = min(8, 1 << (max(1, n_segments // _page()).bit_length() - 1), _page())
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for order, keys, total in _unpack(batch):
                 level = level_of(total, MIN_PAIR if order == 2 else 1)
-                keys, level = keys[level >= lowest[order]], level[level >= lowest[order]]
                 if order == 1:
                     keys = _word_entry(keys)
-                segment = (keys >> np.uint64(64 - log_segments)).astype(np.int64) if log_segments else np.zeros(len(keys), np.int64)
-                by = np.argsort(segment, kind="stable")
-                keys, level, segment = keys[by], level[by], segment[by]
-                cut = np.searchsorted(segment, np.arange((1 << log_segments) + 1))
-                out = [(order, s, keys[cut[s] : cut[s + 1]].tobytes(), level[cut[s] : cut[s + 1]].tobytes()) for s in np.unique(segment).tolist()]
-                yield _rows(out)
+                group = segment_of(keys, n_segments) // together
+                by = np.argsort(group, kind="stable")
+                keys, level = keys[by], level[by]
+                ids, cut = np.unique(group[by], return_index=True)
+                ends = np.append(cut[1:], len(keys))
+                yield _rows([(order, g, keys[a:b].tobytes(), level[a:b].tobytes()) for g, a, b in zip(ids.tolist(), cut, ends)])
 
     def fill(table: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT_BITS, bool)
+        bits = np.zeros(together * SEGMENT_BITS, bool)
         keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
         level = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in table.column("counts")])
+        first = table.column("bucket")[0].as_py() * together
+        base = (segment_of(keys, n_segments) - first) * SEGMENT_BITS
         for j in range(1, int(level.max(initial=0)) + 1):
-            keys, level = keys[level >= j], level[level >= j]
+            keys, base, level = keys[level >= j], base[level >= j], level[level >= j]
             for place in positions(keys, j):
-                bits[place] = True
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([bucket], pa.int64()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+                bits[base + place] = True
+        blobs = np.packbits(bits, bitorder="little").reshape(together, -1)
+        return pa.table({"bucket": pa.array(range(first, first + together), pa.int64()), "bits": [b.tobytes() for b in blobs]})
+
+    chosen = counts.mapInArrow(choose, _PACKED)
+    segments = chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
+    if n_segments <= _page():
+        return read_page(segments, n_segments, 0), None
+    segments = materialize(segments, "filter")
+    return read_page(segments, n_segments, 0), segments
+
 
-    bits = np.zeros((1 << log_segments, SEGMENT_BITS // 8), np.uint8)
-    chosen = counts.mapInArrow(choose, _PACKED)  # no more than the filter has room for
-    for r in chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary").toArrow().to_batches():
+def _page() -> int:
+    """Segments of a page."""
+    return max(1, FILTER_BITS // SEGMENT_BITS)
+
+
+def read_page(segments: DataFrame, n_segments: int, first: int) -> BloomCounts:
+    """The page that begins with the segment `first`."""
+    size = min(_page(), n_segments - first)
+    bits = np.zeros((size, SEGMENT_BITS // 8), np.uint8)
+    mine = segments if size == n_segments else segments.where(F.col("bucket").between(first, first + size - 1))
+    for r in mine.toArrow().to_batches():
         for b, blob in zip(r.column(0).to_pylist(), r.column(1)):
-            bits[b] = np.frombuffer(blob.as_buffer(), np.uint8)
-    return BloomCounts(bits.reshape(-1), log_segments)
+            bits[b - first] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return BloomCounts(bits.reshape(-1), n_segments, first)
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    """What the scoring pass needs: the filter, exact counts of frequent words, and the totals."""
+    """What the scoring pass needs: a page of the filter, exact counts of frequent words, and the totals.
+
+    segments: the whole filter, where it has more than one page; it does not travel to the workers.
+    """
 
     filter: BloomCounts
     head_keys: np.ndarray
     head_counts: np.ndarray
     n_tokens: int
     n_types: int
+    segments: DataFrame | None = None
 
-    def log_prob(self, doc: np.ndarray, key: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """log10 probability of every token after the one before it; words, which: distinct tokens, and each token's among them."""
+    def log_prob(self, levels: np.ndarray) -> np.ndarray:
+        """log10 probability of every token after the one before it, from its levels; the last token is an end."""
         denominator = self.n_tokens + self.n_types + 1
-        seen = count_at(self.filter.levels(_word_entry(words)))[which]
-        first = count_at(self.filter.levels(_word_entry(np.array([_END]))))
-        before = np.concatenate([first, seen[:-1]])
+        seen = count_at(levels[:, 0])
+        before = np.concatenate([seen[-1:], seen[:-1]])
         plain = (seen + 1) / denominator
-        together = np.minimum(count_at(self.filter.levels(pair_keys(doc, key)[1]), MIN_PAIR), np.minimum(seen, before))
+        together = np.minimum(count_at(levels[:, 1], MIN_PAIR), np.minimum(seen, before))
         known = before > 0
         follow = np.where(known, together / np.maximum(before, 1), 0.0)
         return np.log10(np.where(known, (1 - PAIR_WEIGHT) * plain + PAIR_WEIGHT * follow, plain))
 
 
+def token_levels(page: BloomCounts, doc: np.ndarray, key: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Levels of every token and of its pair with the one before, as two columns; 0 where another page tells them.
+
+    words, which: distinct tokens, and each token's among them.
+    """
+    return np.column_stack([page.levels(_word_entry(words))[which], page.levels(pair_keys(doc, key)[1])]).astype(np.uint8)
+
+
+def _note_levels(texts: DataFrame, page: BloomCounts, at: int) -> DataFrame:
+    """texts, with the levels that the page tells added to the last column; the text is column `at`."""
+    shared = texts.sparkSession.sparkContext.broadcast(page)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slabs(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                w = Words(part.column(at))
+                doc, key = tokens(w)
+                levels = token_levels(shared.value, doc, key, *_distinct(key)) + _noted(part.column(at + 1), len(key))
+                cut, flat = 2 * (w.ptr + np.arange(w.n + 1)), levels.tobytes()
+                blobs = pa.array([flat[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[: at + 1], blobs], part.schema.names)
+
+    out = materialize(texts.mapInArrow(run, texts.schema), "levels")
+    shared.destroy()
+    return out
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the place of each key among them."""
+    coded = pa.array(key).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _noted(column: pa.Array, n: int) -> np.ndarray:
+    """Levels of the n tokens of some texts that earlier pages told."""
+    return string_buffers(column)[1].reshape(n, 2) if column.null_count < len(column) else np.zeros((n, 2), np.uint8)
+
+
 def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
     """Learns from every row; also gives the exact counts (word, n) of the words that the model does not carry."""
     counts = materialize(count_ngrams(docs, text), "ngrams")
@@ -297,7 +361,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
     head = as_rows(True).toArrow()
     keys = head.column("word").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    model = NgramModel(build_filter(counts, hist), keys[by], head.column("n").to_numpy()[by], n_tokens, n_types)
+    page, segments = build_filter(counts, hist)
+    model = NgramModel(page, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, segments)
     return model, as_rows(False)
 
 
@@ -314,6 +379,16 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
     extra += [("row", T.LongType()), ("rare", T.ArrayType(T.LongType()))]
     schema = T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)], *[T.StructField(n, t) for n, t in extra]])
     denominator = model.n_tokens + model.n_types + 1
+    earlier = None
+    if model.segments is not None:
+        texts = picked.toDF(*[f"k{i}" for i in range(len(kept))], "text").withColumn("levels", F.lit(None).cast("binary"))
+        n_segments, page = model.filter.n_segments, model.filter
+        for first in range(_page(), n_segments, _page()):
+            texts = _note_levels(texts, page, len(kept))
+            if earlier is not None:
+                discard(earlier)
+            page, earlier = read_page(model.segments, n_segments, first), texts
+        picked, model = texts, replace(model, filter=page, segments=None)
     # FILTER_BITS / 8 + 16 * HEAD_WORDS bytes at most
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -324,8 +399,10 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
             for lo, hi in slabs(column):
                 w = Words(column.slice(lo, hi - lo))
                 doc, key = tokens(w)
-                coded = pa.array(key).dictionary_encode()
-                words, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+                words, which = _distinct(key)
+                levels = token_levels(known.filter, doc, key, words, which)
+                if batch.num_columns > len(kept) + 1:
+                    levels += _noted(batch.column(len(kept) + 1).slice(lo, hi - lo), len(key))
                 place = np.minimum(np.searchsorted(known.head_keys, words), max(len(known.head_keys) - 1, 0))
                 in_head = known.head_keys[place] == words if len(known.head_keys) else np.zeros(len(words), bool)
                 head = in_head[which]
@@ -337,12 +414,14 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
                 arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 arrays += [pa.array(w.counts + 1), pa.array(np.bincount(doc[head], minlength=w.n))]
                 arrays += [pa.array(np.bincount(doc[head], weights=base, minlength=w.n).astype(float))]
-                arrays += [pa.array(np.bincount(doc, weights=known.log_prob(doc, key, words, which), minlength=w.n).astype(float))]
+                arrays += [pa.array(np.bincount(doc, weights=known.log_prob(levels), minlength=w.n).astype(float))]
                 arrays += [pa.array(np.arange(row, row + w.n)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tail.view(np.int64)))]
                 row += w.n
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     first = materialize(picked.mapInArrow(run, schema), "scores")
+    if earlier is not None:
+        discard(earlier)
     left = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = left.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per_row = found.groupBy("row").agg(

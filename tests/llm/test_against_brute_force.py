@@ -193,6 +193,18 @@ def test_the_filter_gives_back_levels(spark):
     assert (unseen > 0).mean() < 0.05
 
 
+def test_a_filter_of_many_pages_drops_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_model, "FILTER_BITS", ngram_model.SEGMENT_BITS)
+    text = " ".join(f"t{i}" for i in range(30000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, text[: len(text) // 2])], "doc_id long, text string")
+    model, rare = ngram_model.train(docs.where("doc_id <= 2"))
+    got = {r.doc_id: r.score for r in ngram_model.score(docs, model, rare).collect()}
+    denominator = 60002 + 30001 + 1  # every word and pair was seen twice
+    for doc, n in ((1, 30001), (4, text[: len(text) // 2].count(" ") + 1)):
+        assert got[doc] == pytest.approx(n * math.log10(0.9 * 3 / denominator + 0.1), rel=0.05)
+    assert got[3] == pytest.approx(math.log10(0.9 * 3 / denominator), rel=0.05)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 10**9), st.integers(1, 3))
 def test_levels_stay_near_counts(count, least):
