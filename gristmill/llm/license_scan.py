@@ -3,7 +3,9 @@
 A template and a text are aligned on the words that occur once in each: the
 longest increasing run of such anchors is kept, and the gaps between anchors
 are aligned in the same way, down to equal words at a gap's ends.  The share of
-a template's words that find their place in the text is its coverage.
+a template's words that find their place in the text is its coverage.  A text
+that repeats a notice has few words that occur once; where the alignment leaves
+words of the template out, an exact one is made in every window that may hold more.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +120,73 @@ def best_window(matched: list[tuple[int, int]], size: int, stretch: float = MAX_
     return best
 
 
+def _common(where: dict[int, int], size: int, b: list[int]) -> list[int]:
+    """The state of a bit-parallel longest common subsequence before and after each item of b.
+
+    where: the places (bits) of every item of a; a zero in a state is a step of the length over the leading items of a.
+    """
+    full = (1 << size) - 1
+    out = [full]
+    for x in b:
+        v = out[-1]
+        u = v & where.get(x, 0)
+        out.append(((v + u) | (v - u)) & full)
+    return out
+
+
+def _bits(a: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def exact(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Matched places (i, j) of a longest common subsequence, with the earliest last j."""
+    states, out = _common(_bits(a), len(a), b), []
+    i, j = len(a), len(b)
+    while i and j:
+        if states[j] >> (i - 1) & 1:
+            i -= 1
+        elif not states[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def exact_window(a: list[int], b: list[int], places: list[int], least: int, stretch: float = MAX_STRETCH) -> tuple[int, int, int]:
+    """(matches, first place, last place) of the first window with most items of a in order, of those with `least` or more; else zeros.
+
+    b: the items of a text that are in a, at ascending `places`.
+    """
+    reach = max(8, int(stretch * len(a)))
+    where, wanted, opening = _bits(a), Counter(a), set(a[: len(a) - least + 1])
+    best, found, bound, hi = least - 1, None, 0, 0
+    have: Counter[int] = Counter()
+    for lo, x in enumerate(b):
+        while hi < len(b) and places[hi] - places[lo] < reach:
+            bound += have[b[hi]] < wanted[b[hi]]
+            have[b[hi]] += 1
+            hi += 1
+        # bound: no more items than this can be matched
+        if bound > best and x in opening:
+            n = len(a) - _common(where, len(a), b[lo:hi])[-1].bit_count()
+            if n > best:
+                best, found = n, (lo, hi)
+                if n == len(a):
+                    break
+        have[x] -= 1
+        bound -= have[x] < wanted[x]
+    if found is None:
+        return 0, 0, 0
+    lo, hi = found
+    last = lo + exact(a, b[lo:hi])[-1][1]
+    first = last - exact(a[::-1], b[lo : last + 1][::-1])[-1][1]
+    return best, places[first], places[last]
+
+
 def _keys(text: str) -> np.ndarray:
     return Words(pa.array([text]), sep=_SEP).key
 
@@ -161,6 +231,10 @@ class _Scanner:
                 continue
             lo, hi = int(run[0]), int(run[-1]) + 1
             n, first, last = best_window(align(keys.tolist(), w.key[lo:hi].tolist()), len(keys))
+            if n < len(keys):
+                least = max(1, n + 1, ceil(self.coverage * len(keys) - 1e-9))
+                more = exact_window(keys.tolist(), w.key[run].tolist(), (run - lo).tolist(), least)
+                n, first, last = more if more[0] else (n, first, last)
             share = n / len(keys)
             if share >= self.coverage and (best is None or share > best["coverage"]):
                 base = w.doc_off[i]

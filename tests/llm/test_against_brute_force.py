@@ -371,6 +371,30 @@ def test_licenses_are_found_in_place(spark):
     assert rows[3][1][best.first_byte : best.end_byte] == "Released under the MIT License"
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=12), st.lists(st.integers(0, 6), max_size=60), st.integers(1, 12))
+def test_exact_windows_miss_nothing(a, b, least):
+    least = min(least, len(a))
+    pairs = license_scan.exact(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])) and len(pairs) == longest_common(a, b)
+    places = [j for j, x in enumerate(b) if x in a]
+    reach = max(8, 2 * len(a))
+    most = max((longest_common(a, b[j : j + reach]) for j in places), default=0)
+    n, first, last = license_scan.exact_window(a, [b[j] for j in places], places, least)
+    assert n == (most if most >= least else 0)
+    assert not n or (last - first < reach and longest_common(a, b[first : last + 1]) == n)
+
+
+def test_a_repeated_notice_is_found(spark):
+    short, mit = "Released under the MIT License", license_scan.TEMPLATES["MIT"][2]
+    rows = [(1, f"the code {short}. {short}. See the file"), (2, f"the and of {mit} and the of {mit} the of and " + "the x of " * 200)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = next(f for f in got[1].found if f.template == 0)
+    assert hit.coverage == 1 and rows[0][1][hit.first_byte : hit.end_byte] == short
+    hit = next(f for f in got[2].found if f.template == 2)
+    assert hit.coverage == 1 and rows[1][1][hit.first_byte : hit.end_byte] == mit[:-1]
+
+
 # ------------------------------------------------------------- 9 Jaccard
 
 
