@@ -173,8 +173,9 @@ SELECT count(*) FILTER (quote = '') AS violations, count(*) FILTER (quote <> ''
        count(*) FILTER (quote <> '' AND contains(lower(text), lower(quote))) / nullif(count(*) FILTER (quote <> '' AND text <> ''), 0)::DOUBLE AS rate FROM f""")
 def faithfulness_contains(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("study"), "text", "lang")
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.substring("text", 1, 60).alias("quote"))
-    fields = docs.withColumn("item", F.col("study") % 40).join(items, "item")
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("quote"))
+    counted = items.agg(F.nullif(F.count("*"), F.lit(0)).alias("n_items"))
+    fields = docs.crossJoin(F.broadcast(counted)).withColumn("item", F.col("study") % F.col("n_items")).join(items, "item")
     fields = fields.select("study", F.lit("x").alias("value"), F.when(F.col("lang") == "en", F.col("quote")).otherwise("").alias("evidence_quote"))
     return evaluate.faithfulness(fields, docs.select("study", "text"))
 

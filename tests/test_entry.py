@@ -42,3 +42,12 @@ def test_entry_gives_rows(spark):
 def test_pages_are_flattened(spark):
     got = entry.queries()["html_flatten"](spark, SMALL).collect()
     assert got and all("<" not in (r.text or "")[:20] for r in got)
+
+
+def test_faithfulness_reads_every_item_whole(spark, tmp_path):
+    head = "a passage of more than sixty characters that all of the items begin with, "
+    spark.createDataFrame([(i, f"{head}{i}.") for i in range(50)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(45, f"It says {head}45."), (46, f"It says {head}6."), (47, f"It says {head}but no more"), (95, f"So does {head}45.")]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["faithfulness_contains"](spark, str(tmp_path)).first()
+    assert (got.violations, got.checked, got.matched, got.rate) == (0, 4, 2, 0.5)
