@@ -8,6 +8,7 @@ constant penalty for a switch labels spans of one language each.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,25 @@ _RANGES = [
     (0x3100, 0), (0x3400, 13), (0x4DC0, 0), (0x4E00, 13), (0xA000, 0), (0xAC00, 10), (0xD7A4, 0), (0xF900, 13), (0xFB00, 0),
     (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 12), (0xFFA0, 0), (0x20000, 13), (0x32000, 0),
 ]
-_FIRST = np.array([a for a, _ in _RANGES])
-_SCRIPT = np.array([b for _, b in _RANGES], np.uint8)
+#: The script of letters outside these ranges; the least, so that it is a word's only where no other letter is in it.
+_OTHER = 1
+#: No letters are assigned from here on.
+_LAST = 0x34000
+
+
+def _all_ranges() -> tuple[np.ndarray, np.ndarray]:
+    """First code point and script of every range, where letters of no listed range have a script of their own."""
+    code = np.arange(_LAST + 1)
+    listed = np.array([b for _, b in _RANGES])[np.searchsorted([a for a, _ in _RANGES], code, "right") - 1]
+    script = np.where(listed > 0, listed + _OTHER, 0)
+    for c in np.flatnonzero(listed == 0).tolist():
+        if unicodedata.category(chr(c))[0] == "L":
+            script[c] = _OTHER
+    first = np.flatnonzero(np.diff(script, prepend=-1))
+    return first, script[first].astype(np.uint8)
+
+
+_FIRST, _SCRIPT = _all_ranges()
 N_SCRIPTS = int(_SCRIPT.max()) + 1
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,7 +67,7 @@ _FOLD[65:91] += 32
 def _byte_scripts(raw: np.ndarray) -> np.ndarray:
     """Script of the character that begins at each byte, 0 inside characters."""
     out = np.zeros(len(raw), np.uint8)
-    out[~NOT_LETTER[raw] & (raw < 128)] = 1
+    out[~NOT_LETTER[raw] & (raw < 128)] = 1 + _OTHER  # Latin
     at = np.flatnonzero(raw >= 0xC0)
     if len(at):
         b = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) for k in range(4)]

@@ -492,6 +492,16 @@ def test_scripts_narrow_and_spans_follow(spark):
     assert [s.lang for s in got[2].spans] == ["en", "fr"] and got[2].spans[0].first_byte == 0
 
 
+def test_only_texts_without_letters_are_undetermined(spark):
+    rows = [("the cat sat on the mat and the dog", "en"), ("der hund und die katze sind nicht hier", "de")] * 20
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    letters = ["ⲁⲃⲅⲇ", "ㄅㄆㄇ ㄈㄉ", "ꀀꀁꀂ", "ꕉꕜ", "ꦲꦏ", "שּׁ", "ﺀﺎﺏ", "𐤀𐤁", "ⵣⵓ", "the ꀀꀁ cat and the dog"]
+    others = ["", "1234 .,", "\u0301\u0302", "٠١٢", "→ ☃ 😀", "〈〉"]
+    docs = spark.createDataFrame(list(enumerate(letters + others)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert all((got[i].lang_pred == "und") == (i >= len(letters)) for i in got) and got[len(letters) - 1].lang_pred == "en"
+
+
 @here
 def test_held_out_accuracy(spark, small):
     rows = [r for r in QUERIES["op10_language"](spark, SMALL).collect() if r.held_out]
