@@ -1,46 +1,77 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables written to the folder that the driver and all executors share, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints/gristmill"
+#: Bytes of rows that go to a Python worker, or come back, at once; a larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Bytes that a task buffers before it writes them to a table's file.
+ROW_GROUP_BYTES = 16 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set to FALLBACK_DIR where it is unset."""
+    """spark.checkpoint.dir of the session, or the checkpoint folder of its context.
+
+    Where neither is set: on one machine (a local master) a new temporary
+    folder, which becomes the context's; on a cluster the warehouse, which all
+    executors see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(FALLBACK_DIR)
+        if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def _path(spark: SparkSession, name: str):
+    """(file system, path) of a folder, as Hadoop has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of the shared folder and reads it again.
 
     This cuts the lineage: losing an executor afterwards costs only a reread.
+    What the plan shuffled is deleted as soon as the table stands.  The table
+    goes with discard(), or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()  # what the plan shuffled is no longer needed; Spark drops it once the driver has let go of it
-    spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    system, where = _path(spark, path)
+    system.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            system, path = _path(table.sparkSession, folder)
+            system.delete(path, True)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), where Arrow batches are bounded by bytes.
+
+    Spark bounds batches by rows alone unless told otherwise, and ten thousand
+    texts may be any size.  The setting is the session's and stays.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)

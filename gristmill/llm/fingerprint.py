@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
+
 REACH = 7
 PIECES = 64
 _LETTERS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
@@ -125,7 +127,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
             found = [fingerprint((s.as_py() or "").encode()) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], schema.names)
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")), run, schema)
 
 
 def _bounds_above(x: Column, bounds: list[float]) -> Column:
@@ -210,7 +212,7 @@ def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id")
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return _dealt_in_order(docs, text, key).mapInArrow(run, schema)
+    return map_batches(_dealt_in_order(docs, text, key), run, schema)
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import discard, materialize
+from ._store import discard, map_batches, materialize
 from ._text import Words, distinct_in_doc, mix, signed, slabs
 from .components import components
 
@@ -121,7 +121,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
                 unique, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(unique)), pa.array(n)], ["sh", "n"])
 
-    counted = sample.mapInArrow(run, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
+    counted = map_batches(sample, run, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     counted = materialize(counted.withColumn("n", F.least("n", F.lit(1 << 16))), "frequent")  # small: what a sample repeats
     room, least = FREQUENT_MOST, (1 << 16) + 1
     for r in sorted(counted.groupBy("n").agg(F.count("*").alias("k")).collect(), reverse=True):  # at most 2^16 rows
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> Dat
                 arrays += [pa.array(_bitmaps(doc, key, n), pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = most >= need(int(na[i]), int(nb[i]), percent)
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
-    return sized.mapInArrow(run, "a long, b long, na long, nb long")
+    return map_batches(sized, run, "a long, b long, na long, nb long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, per
 
     spot = F.pmod(F.xxhash64("row"), F.lit(WANTED_BITS))
     asked = docs.select("row", "text", F.bitmap_bucket_number(spot).alias("part"), F.bitmap_bit_position(spot).alias("bit"))
-    got = asked.mapInArrow(fetch, "row long, cls long, keys binary").join(rows, ["row", "cls"], "left_semi").dropDuplicates(["cls"]).drop("row")
+    got = map_batches(asked, fetch, "row long, cls long, keys binary").join(rows, ["row", "cls"], "left_semi").dropDuplicates(["cls"]).drop("row")
     arrays = materialize(got, "arrays")
     both = pairs.join(arrays.withColumnsRenamed({"cls": "a", "keys": "keys_a"}), "a").join(arrays.withColumnsRenamed({"cls": "b", "keys": "keys_b"}), "b")
 
@@ -232,7 +232,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, per
             keep = [overlap(x.as_py(), y.as_py()) >= m for x, y, m in zip(batch.column(4), batch.column(5), least.tolist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = materialize(both.select("a", "b", "na", "nb", "keys_a", "keys_b").mapInArrow(exact, "a long, b long"), "links")
+    out = materialize(map_batches(both.select("a", "b", "na", "nb", "keys_a", "keys_b"), exact, "a long, b long"), "links")
     discard(rows, arrays)
     return out
 
@@ -369,7 +369,7 @@ def _later_round(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.select(columns).repartition(parts, *cell).sortWithinPartitions(*cell)
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(ordered, run, "a long, b long").distinct()
 
 
 def _row(key: str, text: str) -> Column:
@@ -437,10 +437,15 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     """
     found = labelled(docs, text, key, words, percent).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    chosen = found.groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
+    chosen = found.groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.row").alias("row"))
+    several = found.groupBy("row").agg((F.count("*") > 1).alias("several"))
     wordless = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.where(~wordless).withColumn("__row", _row(key, text)).join(chosen, "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.select(docs.columns).unionByName(docs.where(wordless))
+    # columns get names of their own, so that none of the caller's can clash
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], _row(key, text).alias("row"), wordless.alias("wordless"))
+    marked = own.join(materialize(chosen.join(several, "row"), "chosen"), "row", "left")
+    # only rows that occur more than once are made distinct, so that no aggregate has to hold the others' texts
+    kept = marked.where("wordless OR NOT several").unionByName(marked.where("several AND NOT wordless").dropDuplicates(["row"]))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

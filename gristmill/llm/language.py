@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import NOT_LETTER, Words, slabs
 
 #: Expected number of training documents for each language.
@@ -195,7 +196,7 @@ def train(docs: DataFrame, text: str, lang: str, sample_per_lang: int = SAMPLE_P
 
     grams = np.zeros((len(langs), 1 << BUCKET_BITS))
     scripts = np.zeros((len(langs), N_SCRIPTS))
-    for r in sample.mapInArrow(count, "k int, grams binary, scripts binary").collect():
+    for r in map_batches(sample, count, "k int, grams binary, scripts binary").collect():
         grams[r.k] += np.frombuffer(r.grams, np.int32)
         scripts[r.k] += np.frombuffer(r.scripts, np.int64)
     smooth = 0.05
@@ -280,7 +281,7 @@ def identify(
                     arrays.append(pa.array(rows, kind))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    out = picked.mapInArrow(run, schema)
+    out = map_batches(picked, run, schema)
     return out.select(*[F.col(f"k{i}").alias(f.name) for i, f in enumerate(kept)], *names[len(kept) :])
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import NOT_LETTER, Words, slabs
 
 #: Least coverage of a template that is reported.
@@ -288,7 +289,7 @@ def scan_licenses(
                 found = scanner.scan(batch.column(1).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, kind)], schema.names)
 
-    out = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    out = map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema)
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), "found")
 
 

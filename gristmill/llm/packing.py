@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import materialize
+from ._store import map_batches, materialize
 from ._text import Words, slabs
 
 WINDOW = 2048
@@ -158,7 +158,7 @@ def tokenize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     picked = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)
 
 
 def pack(
@@ -221,7 +221,7 @@ def pack(
                 yield pieces_of(batch.slice(lo, hi - lo), n[lo:hi])
                 lo = hi
 
-    return stored.mapInArrow(cut, schema)
+    return map_batches(stored, cut, schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

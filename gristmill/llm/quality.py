@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import Words, covered, repeated_in_doc, slabs
 
 #: Documents of the calibration sample (expected number; whole texts).
@@ -208,7 +209,7 @@ def calibrate(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_docs:
                     ["n", "costs", "masks"],
                 )
 
-    got = sample.mapInArrow(measure, "n long, costs array<long>, masks array<binary>").collect()
+    got = map_batches(sample, measure, "n long, costs array<long>, masks array<binary>").collect()
     if not got:
         return list(rules)
     cost = np.sum([r.costs for r in got], axis=0) + 1.0
@@ -255,7 +256,7 @@ def quality_cascade(
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
     picked = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
-    out = picked.mapInArrow(run, schema)
+    out = map_batches(picked, run, schema)
     renamed = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)] + [F.col(f"m{i}").alias(m) for i, m in enumerate(report)]
     return out.select(*renamed, "kept", F.col("by").alias("rejected_by"))
 
@@ -275,7 +276,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
                 if (verdict < 0).any():
                     yield part.filter(pa.array(verdict < 0))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

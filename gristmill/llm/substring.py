@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import Words, mix, signed, slabs
 
 MIN_SENTENCES = 3
@@ -118,7 +119,7 @@ def span_keys(docs: DataFrame, text: str, key: str) -> DataFrame:
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(s.doc[at[new]]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(span[new]))], ["id", "span"])
 
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, "id long, span long")
+    return map_batches(docs.select(key, F.col(text).cast("string").alias("__text")), run, "id long, span long")
 
 
 def repeated_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -173,7 +174,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
                 columns += [pa.array(np.diff(s.ptr)), pa.array(lost)]
                 yield pa.RecordBatch.from_arrays(columns, out_type.names)
 
-    clean = joined.mapInArrow(run, out_type)
+    clean = map_batches(joined, run, out_type)
     return clean.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("n").alias("n_sentences"), F.col("gone").alias("n_removed"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import NOT_LETTER, Words, slabs
 
 BUCKET_BITS = 20
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 )
 
     kind = T.StructType([T.StructField("terms", T.BinaryType()), T.StructField("y", T.IntegerType()), T.StructField("key", rows.schema["key"].dataType)])
-    got = rows.select("text", "y", "key").mapInArrow(extract, kind).toArrow().sort_by("key")
+    got = map_batches(rows.select("text", "y", "key"), extract, kind).toArrow().sort_by("key")
     y = got.column("y").to_numpy()
     terms = [np.frombuffer(b.as_py(), np.int32) for b in got.column("terms")]
     weight = np.array([1 / rate[k] for k in y])
@@ -172,7 +173,7 @@ def score(docs: DataFrame, model: FactorMachine, text: str = "text", keep: tuple
                 arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(shared.value.score(column.slice(lo, hi - lo)))], names)
 
-    out = picked.mapInArrow(run, schema)
+    out = map_batches(picked, run, schema)
     return out.select(*[F.col(f"k{i}").alias(f.name) for i, f in enumerate(kept)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
