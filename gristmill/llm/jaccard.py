@@ -241,11 +241,13 @@ def _met(reps: DataFrame) -> DataFrame:
     """(a, b, times): every class b with each centre a that it shares prefix shingles with, and with how many.
 
     The centre of a shingle is the smallest class that has it in its prefix.
-    Minima come from partial aggregates and counts are added before they move,
-    so a frequent shingle's classes never stand in one place.
+    Minima come from partial aggregates and counts are added before they move.
+    The centres are a table of their own, so that the join has nothing but two
+    shuffled tables and Spark splits a frequent shingle's classes among tasks.
     """
     posts = reps.select(F.explode("prefix").alias("sh"), "cls")
-    centres = posts.groupBy("sh").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("sh", "a")
+    least = posts.groupBy("sh").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("sh", "a")
+    centres = materialize(least, "centres")
     return posts.join(centres, "sh").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("times"))
 
 
@@ -254,31 +256,38 @@ def _first_round(met: DataFrame) -> DataFrame:
     return met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
 
 
-def _tiles(met: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """The cells of all tiles that hold different labels.
+def _tiles(met: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The cells of all tiles that hold different labels, and the tables that they are made from.
 
     A tile is a centre's classes of one size band and, as guests, those of the
     band below; two similar sets are in bands that are equal or next to each
     other.  The classes of a tile that bear its centre's label are not compared
     with each other.  The others are dealt into blocks, and every block meets
     every block of either kind in a cell (i, j) of its own.
+
+    A centre of very many classes is no single task's: what is known of a
+    centre, and of a tile, is added up in parts and written before its classes
+    are joined with it, so that Spark can split them.
     """
     members = met.select("a", F.col("b").alias("cls")).unionByName(met.select("a", F.col("a").alias("cls")).distinct())
     named = labels.select(F.col("node").alias("cls"), "label")
-    known = members.join(named, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mains = known.where("a = cls").select("a", F.col("label").alias("main"))
-    mixed = known.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
-    marked = known.join(mixed, "a").join(mains, "a").withColumn("other", (F.col("label") != F.col("main")).cast("int"))
-    sized = marked.join(sets.select("cls", "n"), "cls")
+    joined = members.join(named, "cls", "left").join(sets.select("cls", "n"), "cls")
+    known = materialize(joined.select("a", "cls", "n", F.coalesce("label", "cls").alias("label")), "known")
+    own_label = F.max(F.when(F.col("a") == F.col("cls"), F.col("label"))).alias("main")
+    of_centre = known.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), own_label)
+    mixed = materialize(of_centre.where("lo < hi").select("a", "main"), "mixed")
+    marked = known.join(mixed, "a").withColumn("other", (F.col("label") != F.col("main")).cast("int"))
     band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     homes = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
-    housed = sized.select("a", "cls", "n", "label", "other", F.explode(homes).alias("home")).select("a", "home.band", "home.own", "cls", "n", "label", "other")
+    homed = marked.select("a", "cls", "n", "label", "other", F.explode(homes).alias("home"))
+    housed = materialize(homed.select("a", "home.band", "home.own", "cls", "n", "label", "other"), "housed")
     counts = housed.groupBy("a", "band").agg(
         F.sum("other").alias("n_other"), F.sum(1 - F.col("other")).alias("n_main"), F.count_if("own").alias("n_own"), F.count("*").alias("n_all")
     )
     blocks = counts.where("n_own > 0 AND n_all > 1 AND n_other > 0").select(
         "a", "band", *[F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int").alias(b) for c, b in (("n_other", "b_other"), ("n_main", "b_main"))]
     )
+    blocks = materialize(blocks, "blocks")
     dealt = housed.join(blocks, ["a", "band"])
     mine = F.pmod(F.xxhash64("cls"), F.when(F.col("other") == 1, F.col("b_other")).otherwise(F.col("b_main"))).cast("int")
     dealt = dealt.withColumn("mine", mine)
@@ -288,9 +297,8 @@ def _tiles(met: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     as_main = F.transform(others, lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j")))
     cells = F.when(F.col("other") == 1, F.concat(with_main, with_other)).otherwise(as_main)
     block = F.when(F.col("other") == 1, F.col("mine")).otherwise(-1 - F.col("mine"))
-    return dealt.select("a", "band", "own", "cls", "n", "label", block.alias("block"), F.explode(cells).alias("at")).select(
-        "a", "band", "at.i", "at.j", "own", "cls", "n", "label", "block"
-    )
+    placed = dealt.select("a", "band", "own", "cls", "n", "label", block.alias("block"), F.explode(cells).alias("at"))
+    return placed.select("a", "band", "at.i", "at.j", "own", "cls", "n", "label", "block"), [known, mixed, housed, blocks]
 
 
 def _cell_pairs(label, own, block, n, cls, i: int, j: int, bits: list[np.ndarray], percent: int, best: int | None) -> tuple[set[tuple[int, int]], bool]:
@@ -331,7 +339,8 @@ def _cell_pairs(label, own, block, n, cls, i: int, j: int, bits: list[np.ndarray
 
 def _later_round(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
     """(a, b): pairs of a tile with different labels whose sizes and bitmaps allow a link; and (centre, null) where more pairs are left."""
-    placed = _tiles(met, labels, sets).join(sets.select("cls", "bits"), "cls")
+    tiles, spent = _tiles(met, labels, sets)
+    placed = tiles.join(sets.select("cls", "bits"), "cls")
     cell = ["a", "band", "i", "j"]
     columns = [*cell, "own", "cls", "n", "label", "block", "bits"]
 
@@ -369,7 +378,9 @@ def _later_round(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.select(columns).repartition(parts, *cell).sortWithinPartitions(*cell)
-    return map_batches(ordered, run, "a long, b long").distinct()
+    out = materialize(map_batches(ordered, run, "a long, b long").distinct(), "found")
+    discard(*spent)
+    return out
 
 
 def _row(key: str, text: str) -> Column:
@@ -392,17 +403,19 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     pairs = materialize(_bounded(_first_round(met), narrow, percent), "pairs")
     links = _verified(own, pairs, narrow, words, percent)
     labels = components(links, "a", "b")
+    discard(links)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sizes = narrow.select("cls", "n")
     spent = [reps, all_met, pairs]
     for best in ROUNDS:
-        found = materialize(_later_round(met, labels, narrow, percent, best), "found")
+        found = _later_round(met, labels, narrow, percent, best)
         more = found.where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti")
         sized = more.join(sizes.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
         rest = materialize(sized.select("a", "b", "na", "nb"), "pairs")
         if rest.limit(1).count():
-            links = links.unionByName(_verified(own, rest, narrow, words, percent))
-            labels = components(links, "a", "b")
+            links = _verified(own, rest, narrow, words, percent)
+            before, labels = labels, components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "a", "b")
+            discard(before, links)
             tried = tried.unionByName(rest.select("a", "b"))
         spent += [found, rest]
         met = met.join(found.where("b IS NULL").select("a"), "a", "left_semi")
@@ -410,7 +423,7 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
             break  # every pair that could link is tried or joined already
     known = sets.select("doc_id", "row", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     out = materialize(known.select("doc_id", "row", "n", F.coalesce("label", "cls").alias("label")), "labels")
-    discard(sets, links, labels, *spent)
+    discard(sets, labels, *spent)
     return out
 
 
@@ -424,9 +437,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     component's smallest key is sought, and is null if there is no other.
     """
     found = labelled(docs, text, key, words, percent)
-    smallest = found.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    grouped = found.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    smallest = materialize(grouped.where("size > 1").select("label", "least"), "least")  # written, so that Spark can split a large component in the join
     out = found.join(smallest, "label", "left")
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
