@@ -399,14 +399,14 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     sets = materialize(whole.select("doc_id", "row", "n", "cls"), "sets")
     discard(whole)
     narrow = reps.select("cls", "row", "n", "bits")
-    met = all_met = materialize(_met(reps), "met")
+    met = materialize(_met(reps), "met")
     pairs = materialize(_bounded(_first_round(met), narrow, percent), "pairs")
     links = _verified(own, pairs, narrow, words, percent)
     labels = components(links, "a", "b")
     discard(links)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sizes = narrow.select("cls", "n")
-    spent = [reps, all_met, pairs]
+    spent = [reps, met, pairs]
     for best in ROUNDS:
         found = _later_round(met, labels, narrow, percent, best)
         more = found.where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti")
@@ -418,7 +418,8 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
             discard(before, links)
             tried = tried.unionByName(rest.select("a", "b"))
         spent += [found, rest]
-        met = met.join(found.where("b IS NULL").select("a"), "a", "left_semi")
+        met = materialize(met.join(found.where("b IS NULL").select("a"), "a", "left_semi"), "met")
+        spent.append(met)
         if not met.limit(1).count():
             break  # every pair that could link is tried or joined already
     known = sets.select("doc_id", "row", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")

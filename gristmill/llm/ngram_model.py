@@ -3,10 +3,15 @@
 Counts of all words and word pairs of the training texts are quantised on a
 logarithmic scale.  An n-gram of level j is put into a Bloom filter together
 with each of the levels 1..j, so its count is read back by probing the levels
-in turn until one is missing.  The filter grows with the counted n-grams and is
-broadcast in pages of a fixed largest size, one at a time: where there is more
-than one, passes over the texts note the levels page by page.  Interpolated
-probabilities come from the filter's answers.
+in turn until one is missing.  Every counted n-gram is in it, at every size of
+input: the filter grows with them and is broadcast in pages of a fixed largest
+size, one at a time; where there is more than one, passes over the texts note
+the levels page by page.
+
+A word's probability after another is the pair's share of the context's count,
+smoothed by a Dirichlet prior around the word's own probability.  The prior's
+strength is fitted on the training counts: unseen pairs get as much of the
+whole as the pairs seen once have (Good and Turing's estimate).
 
 Exact word counts serve the base score: the most frequent words (a bounded
 number) are looked up in the scoring pass, all others by a join.
@@ -24,41 +29,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import discard, materialize
+from ._store import discard, map_batches, materialize
 from ._text import Words, mix, slabs, string_buffers
 
 #: Largest page of the filter (bits): what a worker holds at a time.
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 29
 SEGMENT_BITS = 1 << 19
 PROBES = 6
 #: Bits that the filter should have for each entry.
 BITS_PER_ENTRY = 9.6
-#: Pairs seen fewer times are left to the word model.
-MIN_PAIR = 2
 #: Base of the logarithmic scale.
 SCALE = 1.3
-PAIR_WEIGHT = 0.1
+#: Bounds of the fitted strength of the prior.
+LEAST_PRIOR, MOST_PRIOR = 1e-3, 1e9
 #: Words whose exact counts travel to every worker (16 bytes each); the rest is joined.
 HEAD_WORDS = 1 << 20
-_BUCKETS = FILTER_BITS // SEGMENT_BITS
+#: Groups in which n-grams are counted, of documents up to a few million.
+_BUCKETS = 512
 _FLUSH = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
-def level_of(count: np.ndarray, least: int = 1) -> np.ndarray:
-    """1 for `least`, and one more for every factor SCALE."""
-    return 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(SCALE) + 1e-9).astype(np.int64)
+def level_of(count: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, and one more for every factor SCALE."""
+    return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(SCALE) + 1e-9).astype(np.int64)
 
 
-def count_at(level: np.ndarray, least: int = 1) -> np.ndarray:
+def count_at(level: np.ndarray) -> np.ndarray:
     """A count for a level: the middle of the whole numbers it stands for; 0 for level 0."""
-    low = np.ceil(least * SCALE ** (level - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(least * SCALE ** (1.0 * level) - 1e-9) - 1)
+    low = np.ceil(SCALE ** (level - 1.0) - 1e-9)
+    high = np.maximum(low, np.ceil(SCALE ** (1.0 * level) - 1e-9) - 1)
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
+def fit_prior(contexts: list[tuple[float, float]], n_single: float) -> float:
+    """The K at which sum over contexts of c * K / (c + K) is the number of pairs seen once.
+
+    contexts: (number of words, their mean count c).  The sum grows with K, from 0
+    to all pairs; K is kept between LEAST_PRIOR and MOST_PRIOR.
+    """
+    low, high = np.log(LEAST_PRIOR), np.log(MOST_PRIOR)
+    for _ in range(60):
+        k = np.exp((low + high) / 2)
+        if sum(n * c * k / (c + k) for n, c in contexts) < n_single:
+            low = np.log(k)
+        else:
+            high = np.log(k)
+    return float(np.exp((low + high) / 2))
+
+
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of every token: the words of each text and one end."""
     at = w.ptr[1:] + np.arange(w.n)
@@ -100,7 +121,7 @@ _PACKED = "order int, bucket long, keys binary, counts binary"
 
 
 def count_ngrams(docs: DataFrame, text: str) -> DataFrame:
-    """Counts of all words and pairs, as packed rows by a range of the key; pairs below MIN_PAIR are left out.
+    """Counts of all words and pairs, as packed rows by a range of the key.
 
     Tasks add up a few million tokens before they send them.  Buckets grow in
     number with the documents, so that none grows in size.
@@ -139,12 +160,9 @@ def count_ngrams(docs: DataFrame, text: str) -> DataFrame:
         keys, counts = keys[by], counts[by]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         total = np.add.reduceat(counts, first)
-        keys = keys[first]
-        if order == 2:
-            keys, total = keys[total >= MIN_PAIR], total[total >= MIN_PAIR]
-        return pa.table({"order": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "keys": [keys.tobytes()], "counts": [total.tobytes()]})
+        return pa.table({"order": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "keys": [keys[first].tobytes()], "counts": [total.tobytes()]})
 
-    sent = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, _PACKED)
+    sent = map_batches(docs.select(F.col(text).cast("string").alias("text")), emit, _PACKED)
     return sent.groupBy("order", "bucket").applyInArrow(add, _PACKED)
 
 
@@ -213,7 +231,7 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for order, keys, total in _unpack(batch):
-                level = level_of(total, MIN_PAIR if order == 2 else 1)
+                level = level_of(total).astype(np.uint8)
                 if order == 1:
                     keys = _word_entry(keys)
                 group = segment_of(keys, n_segments) // together
@@ -226,7 +244,7 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
     def fill(table: pa.Table) -> pa.Table:
         bits = np.zeros(together * SEGMENT_BITS, bool)
         keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
-        level = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in table.column("counts")])
+        level = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("counts")])
         first = table.column("bucket")[0].as_py() * together
         base = (segment_of(keys, n_segments) - first) * SEGMENT_BITS
         for j in range(1, int(level.max(initial=0)) + 1):
@@ -236,7 +254,7 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
         blobs = np.packbits(bits, bitorder="little").reshape(together, -1)
         return pa.table({"bucket": pa.array(range(first, first + together), pa.int64()), "bits": [b.tobytes() for b in blobs]})
 
-    chosen = counts.mapInArrow(choose, _PACKED)
+    chosen = map_batches(counts, choose, _PACKED)
     segments = chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
     if n_segments <= _page():
         return read_page(segments, n_segments, 0), None
@@ -262,7 +280,7 @@ def read_page(segments: DataFrame, n_segments: int, first: int) -> BloomCounts:
 
 @dataclass(frozen=True)
 class NgramModel:
-    """What the scoring pass needs: a page of the filter, exact counts of frequent words, and the totals.
+    """What the scoring pass needs: a page of the filter, exact counts of frequent words, the totals and the prior's strength.
 
     segments: the whole filter, where it has more than one page; it does not travel to the workers.
     """
@@ -272,6 +290,7 @@ class NgramModel:
     head_counts: np.ndarray
     n_tokens: int
     n_types: int
+    prior: float
     segments: DataFrame | None = None
 
     def log_prob(self, levels: np.ndarray) -> np.ndarray:
@@ -280,10 +299,8 @@ class NgramModel:
         seen = count_at(levels[:, 0])
         before = np.concatenate([seen[-1:], seen[:-1]])
         plain = (seen + 1) / denominator
-        together = np.minimum(count_at(levels[:, 1], MIN_PAIR), np.minimum(seen, before))
-        known = before > 0
-        follow = np.where(known, together / np.maximum(before, 1), 0.0)
-        return np.log10(np.where(known, (1 - PAIR_WEIGHT) * plain + PAIR_WEIGHT * follow, plain))
+        together = np.minimum(count_at(levels[:, 1]), np.minimum(seen, before))
+        return np.log10((together + self.prior * plain) / (before + self.prior))
 
 
 def token_levels(page: BloomCounts, doc: np.ndarray, key: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -309,7 +326,7 @@ def _note_levels(texts: DataFrame, page: BloomCounts, at: int) -> DataFrame:
                 blobs = pa.array([flat[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[: at + 1], blobs], part.schema.names)
 
-    out = materialize(texts.mapInArrow(run, texts.schema), "levels")
+    out = materialize(map_batches(texts, run, texts.schema), "levels")
     shared.destroy()
     return out
 
@@ -333,13 +350,13 @@ def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
         for batch in batches:
             out = []
             for order, keys, total in _unpack(batch):
-                level = level_of(total, MIN_PAIR if order == 2 else 1)
+                level = level_of(total)
                 types, mass = np.bincount(level), np.bincount(level, weights=total)
                 out += [(order, j, int(types[j]), int(mass[j])) for j in np.flatnonzero(types)]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["order", "level", "types", "mass"])
 
-    grouped = counts.mapInArrow(tally, "order long, level long, types long, mass long").groupBy("order", "level").agg(F.sum("types").alias("types"), F.sum("mass").alias("mass"))
+    grouped = map_batches(counts, tally, "order long, level long, types long, mass long").groupBy("order", "level").agg(F.sum("types").alias("types"), F.sum("mass").alias("mass"))
     hist = {(r.order, r.level): (r.types, r.mass) for r in grouped.collect()}
     n_tokens = sum(m for (o, _), (_, m) in hist.items() if o == 1)
     n_types = sum(t for (o, _), (t, _) in hist.items() if o == 1)
@@ -356,14 +373,16 @@ def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
                         of = (level_of(total) >= head_level) == head
                         yield pa.RecordBatch.from_arrays([pa.array(keys[of].view(np.int64)), pa.array(total[of])], ["word", "n"])
 
-        return counts.mapInArrow(run, "word long, n long")
+        return map_batches(counts, run, "word long, n long")
 
     head = as_rows(True).toArrow()
     keys = head.column("word").to_numpy().view(np.uint64)
     by = np.argsort(keys)
     page, segments = build_filter(counts, hist)
-    model = NgramModel(page, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, segments)
-    return model, as_rows(False)
+    prior = fit_prior([(t, m / t) for (o, _), (t, m) in hist.items() if o == 1], hist.get((2, 1), (0, 0))[0])
+    rare = materialize(as_rows(False), "rare")
+    discard(counts)
+    return NgramModel(page, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, prior, segments), rare
 
 
 def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
@@ -419,7 +438,7 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
                 row += w.n
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    first = materialize(picked.mapInArrow(run, schema), "scores")
+    first = materialize(map_batches(picked, run, schema), "scores")
     if earlier is not None:
         discard(earlier)
     left = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))

@@ -198,19 +198,51 @@ def test_a_filter_of_many_pages_drops_nothing(spark, monkeypatch):
     text = " ".join(f"t{i}" for i in range(30000))
     docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, text[: len(text) // 2])], "doc_id long, text string")
     model, rare = ngram_model.train(docs.where("doc_id <= 2"))
+    assert model.segments is not None
     got = {r.doc_id: r.score for r in ngram_model.score(docs, model, rare).collect()}
-    denominator = 60002 + 30001 + 1  # every word and pair was seen twice
+    denominator, k = 60002 + 30001 + 1, model.prior  # every word and pair was seen twice
+    plain = math.log10((2 + k * 3 / denominator) / (2 + k))
     for doc, n in ((1, 30001), (4, text[: len(text) // 2].count(" ") + 1)):
-        assert got[doc] == pytest.approx(n * math.log10(0.9 * 3 / denominator + 0.1), rel=0.05)
-    assert got[3] == pytest.approx(math.log10(0.9 * 3 / denominator), rel=0.05)
+        assert got[doc] == pytest.approx(n * plain, abs=0.01 * n)
+    assert got[3] == pytest.approx(math.log10(k * 3 / denominator / (2 + k)), rel=0.05)
+
+
+def _quantised(count):
+    """The middle of the whole numbers that share a count's level."""
+    if not count:
+        return 0.0
+    level = math.floor(math.log(count) / math.log(ngram_model.SCALE) + 1e-9)
+    same = [c for c in range(1, 2 * count + 2) if math.floor(math.log(c) / math.log(ngram_model.SCALE) + 1e-9) == level]
+    return (min(same) + max(same)) / 2
+
+
+@here
+def test_scores_are_those_of_the_quantised_model(spark, small):
+    tokens = {d: [lower(w) for w in WORD.findall(r.text or "")] + [None] for d, r in small.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in small}
+    words = Counter(t for d, ts in tokens.items() if not held[d] for t in ts)
+    pairs = Counter(p for d, ts in tokens.items() if not held[d] for p in zip([None, *ts], ts))
+    n, v, once = sum(words.values()), len(words), sum(c == 1 for c in pairs.values())
+    rows = QUERIES["op3_ngram_score"](spark, SMALL).collect()
+    model, _ = ngram_model.train(spark.createDataFrame([(r.text,) for d, r in small.items() if not held[d]], "text string"))
+    k = model.prior
+    assert sum(c * k / (c + k) for c in words.values()) == pytest.approx(once, rel=0.1)  # means of levels stand for their words
+    q = {c: _quantised(c) for c in {0, *words.values(), *pairs.values()}}
+    near = []
+    for r in rows:
+        want = 0.0
+        for h, t in zip([None, *tokens[r.doc_id]], tokens[r.doc_id]):
+            together = min(q[pairs[h, t]], q[words[t]], q[words[h]])
+            want += math.log10((together + k * (q[words[t]] + 1) / (n + v + 1)) / (q[words[h]] + k))
+        near.append(abs(r.score - want) / abs(want))
+    assert np.mean(near) < 0.02 and np.quantile(near, 0.95) < 0.05
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.integers(1, 10**9), st.integers(1, 3))
-def test_levels_stay_near_counts(count, least):
-    level = ngram_model.level_of(np.array([count]), least)
-    if count >= least:
-        assert abs(math.log(ngram_model.count_at(level, least)[0] / count)) < math.log(ngram_model.SCALE) + 1e-6
+@given(st.integers(1, 10**9))
+def test_levels_stay_near_counts(count):
+    level = ngram_model.level_of(np.array([count]))
+    assert abs(math.log(ngram_model.count_at(level)[0] / count)) < math.log(ngram_model.SCALE) + 1e-6
 
 
 # ------------------------------------------------------------- 4 packing
