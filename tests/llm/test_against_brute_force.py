@@ -342,11 +342,57 @@ def test_targets():
     assert mixing.targets([0, 5], [3, 1], 7.5) == [0, 7.5] and mixing.targets([], [], 0) == []
 
 
-def test_split_tree_keeps_quotas():
+@pytest.mark.parametrize("shards", [1, 2, 5, 16])
+def test_split_tree_keeps_quotas(shards):
     q = np.array([7, 0, 40, 3])
-    for shards in (1, 2, 5, 16):
-        s = mixing.split_tree(q, shards, np.random.default_rng(2))
-        assert s.shape == (shards, 4) and (s.sum(axis=0) == q).all() and (s >= 0).all() and np.ptp(s.sum(axis=1)) <= shards
+    leaves = list(mixing.split_tree(0, shards, np.zeros_like(q), q, 2))
+    assert [lo for lo, *_ in leaves] == list(range(shards)) and all(hi == lo + 1 for lo, hi, *_ in leaves)
+    s = np.array([quota for *_, quota in leaves])
+    assert (s.sum(axis=0) == q).all() and (s >= 0).all() and np.ptp(s.sum(axis=1)) <= shards
+    assert (np.array([first for *_, first, _ in leaves]) == np.cumsum(s, axis=0) - s).all()  # runs are disjoint and leave nothing out
+    top = list(mixing.split_tree(0, shards, np.zeros_like(q), q, 2, 3))
+    below = [leaf for lo, hi, first, quota in top for leaf in mixing.split_tree(lo, hi, first, quota, 2)]
+    assert [x[3].tolist() for x in below] == s.tolist()
+
+
+def test_the_mix_comes_from_the_leaves_of_the_tree(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one two three", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    assert sum(r.taken for r in mixing.mix_counts(df, shards=4).collect()) == 1800
+    real = mixing.split_tree
+
+    def first_only(*args):
+        return [x if x[0] == 0 else (*x[:3], np.zeros_like(x[3])) for x in real(*args)]
+
+    monkeypatch.setattr(mixing, "split_tree", first_only)
+    got = mixing.mix_counts(df, shards=4).collect()
+    assert {s for r in got for s in r.shards} == {0} and 0 < sum(r.taken for r in got) < 700
+
+
+@here
+def test_mixing_query(spark, small):
+    rows = {r.doc_id: r for r in QUERIES["op7_mixing"](spark, SMALL).collect()}
+    assert rows.keys() == small.keys()
+    size, taken = Counter(), Counter()
+    for d, r in rows.items():
+        assert r.size == len(WORD.findall(small[d].text or "")) and r.taken == r.size * len([x for x in r.shards.split(",") if x]) <= 2 * r.size
+        size[small[d].source] += r.size
+        taken[small[d].source] += r.taken
+    names = sorted(size)
+    left, free, want = 1.5 * sum(size.values()), dict(zip(names, [3, 1, 2] * len(names))), {}
+    while True:
+        share = {s: left * w / sum(free.values()) for s, w in free.items()}
+        full = [s for s in free if share[s] > 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            want[s] = 2 * size[s]
+            left -= want[s]
+            del free[s]
+    want |= share
+    longest = max(r.size for r in rows.values())
+    for d, r in rows.items():
+        s = small[d].source
+        assert r.target == pytest.approx(want[s]) and r.source_size == size[s] and abs(taken[s] - want[s]) <= longest
 
 
 def test_mix_reaches_targets_and_reruns_agree(spark):
