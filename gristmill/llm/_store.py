@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of rows that go to a Python worker, or come back, at once; a larger row is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -75,3 +77,24 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, key: str, text: str, number: str, nulls_first: bool = False) -> DataFrame:
+    """docs with a long column `number` that differs between rows and grows with the key.
+
+    Integer keys that are unique and never null are their own numbers.  Else rows
+    are sorted in ranges by key, then a hash of the text, then where they were
+    read, and are written with their places; so keys may be of any type that can
+    be sorted, and equal rows get different numbers.
+    """
+    column = F.col(key)
+    if isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        odd = docs.groupBy(column.alias("k")).agg(F.count("*").alias("n")).where("n > 1 OR k IS NULL")
+        if not odd.limit(1).count():
+            return docs.withColumn(number, column.cast("long"))
+    none = column.isNotNull() if nulls_first else column.isNull()
+    read = docs.withColumn(number, F.monotonically_increasing_id())
+    order = [none, column, F.xxhash64(F.col(text).cast("string")), F.col(number)]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = read.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialize(ranked.withColumn(number, F.monotonically_increasing_id()), "numbered")

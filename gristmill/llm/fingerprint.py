@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import map_batches
+from ._store import map_batches, numbered
+from ._text import arrow_type
 
 REACH = 7
 PIECES = 64
@@ -143,39 +144,32 @@ def _bounds_above(x: Column, bounds: list[float]) -> Column:
 
 
 def _dealt_in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows in ranges of descending key: range, tail, rank, doc_id, text.
+    """Rows in ranges of descending key: range, tail, down, doc_id, text.
 
     Every range ends with a copy (tail 1) of the first row of the next range,
-    the last range with the first row of all.  Ids are cut at quantiles, rows
-    without id follow in ranges of a hash of their text, so the text moves once
-    and no task gets more than a few ranges.  The driver gets a row a range.
+    the last range with the first row of all.  Rows are cut at quantiles of
+    their numbers, so the text moves once and no task gets more than a few
+    ranges.  The driver gets a row a range.
     """
     spark = docs.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    bounds = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = numbered(rows, "doc_id", "text", "number", nulls_first=True)
+    place = F.col("number").cast("double")
+    bounds = rows.select(place.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     above = sorted(set(bounds), reverse=True)
-    by_id = _bounds_above(F.col("doc_id").cast("double"), above)
-    by_hash = F.lit(len(above) + 1) + F.floor(F.col("h") / 2.0**64 * ranges + ranges / 2)
-    ranked = rows.withColumn("h", F.xxhash64("text")).withColumns(
-        {
-            "range": F.when(F.col("doc_id").isNull(), by_hash).otherwise(by_id).cast("int"),
-            "rank": F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down"), "h"),
-        }
-    )
-    firsts = sorted(ranked.groupBy("range").agg(F.min("rank").alias("first")).collect())
+    ranked = rows.select(_bounds_above(place, above).cast("int").alias("range"), F.bitwise_not("number").alias("down"), "doc_id", "text")
+    firsts = sorted(ranked.groupBy("range").agg(F.min("down").alias("first")).collect())
     if not firsts:
-        return ranked.select("range", F.lit(0).alias("tail"), "rank", "doc_id", "text")
+        return ranked.select("range", F.lit(0).alias("tail"), "down", "doc_id", "text")
     numbers = [r.range for r in firsts]
     before = dict(zip(numbers, [numbers[-1], *numbers[:-1]]))
-    shape = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("first", ranked.schema["rank"].dataType), T.StructField("before", T.IntegerType())])
-    heads = F.broadcast(spark.createDataFrame([(r.range, r.first, before[r.range]) for r in firsts], shape))  # a row a range
-    lead = F.col("rank") == F.col("first")
+    heads = F.broadcast(spark.createDataFrame([(r.range, r.first, before[r.range]) for r in firsts], "range int, first long, before int"))  # a row a range
     places = F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("tail")))
-    places = F.when(lead, F.array_append(places, F.struct(F.col("before").alias("to"), F.lit(1).alias("tail")))).otherwise(places)
+    places = F.when(F.col("down") == F.col("first"), F.array_append(places, F.struct(F.col("before").alias("to"), F.lit(1).alias("tail")))).otherwise(places)
     spread = ranked.join(heads, "range").withColumn("at", F.explode(places))
-    moved = spread.select(F.col("at.to").alias("range"), F.col("at.tail").alias("tail"), "rank", "doc_id", "text")
-    return moved.repartitionById(numbers[-1] + 1, F.col("range")).sortWithinPartitions("range", "tail", "rank")
+    moved = spread.select(F.col("at.to").alias("range"), F.col("at.tail").alias("tail"), "down", "doc_id", "text")
+    return moved.repartitionById(numbers[-1] + 1, F.col("range")).sortWithinPartitions("range", "tail", "down")
 
 
 def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -183,17 +177,26 @@ def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     The edit replaces the last third of the code points by as many first ones
     of the next document in descending key order (after the last: the first).
-    Null texts are empty; rows without key come last, by a hash of the text;
-    equal keys are ordered by that hash.  A single row is its own neighbour.
+    Keys may be of any type that can be sorted.  Null texts are empty; rows
+    without key come last; rows of one key, or without, are ordered by a hash of
+    the text, and equal rows follow each other.  A single row is its own
+    neighbour; an empty table gives no rows.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema[key].dataType),
+            T.StructField("n_chars", T.LongType()),
+            *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
+            *[T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")],
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, doc_id, text, fingerprint) of the row that waits for its neighbour
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [arrow_type(schema["doc_id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
             out = []
             ranges, tails, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
@@ -216,5 +219,8 @@ def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract query: fingerprints of every text and of its edited text."""
+    """The contract query: fingerprints of every text and of its edited text.
+
+    Nulls, ties, equal rows and empty tables: as in compare_neighbours.
+    """
     return compare_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
