@@ -29,33 +29,100 @@ MIN_COVERAGE = 0.8
 #: Aligned words may stand this many times further apart than in the template.
 MAX_STRETCH = 2.0
 
-#: Wordings of common public licenses and notices.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+    "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+    "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either "
+    "version {1} of the License, or (at your option) any later version."
+)
+_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+
+#: Whole texts of the short public licenses, and the notices by which works name any license.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _MIT_GRANT,
+        _MIT_GRANT + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
         "the License. You may obtain a copy of the License at",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of "
+        "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License "
+        "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU.format("GNU General Public License", "3")],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _GNU.format("GNU General Public License", "2")],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("GNU Lesser General Public License", "3")],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", _GNU.format("GNU Lesser General Public License", "2.1")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _GNU.format("GNU Affero General Public License", "3")],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies.",
     ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met",
     ],
+    "BSD-2-Clause": [_BSD_TWO + _BSD_DISCLAIMER],
+    "BSD-3-Clause": [_BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed "
+        "or altered from any source distribution.",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is marked with CC0 1.0 Universal.",
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", _CC.format("Attribution")],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", _CC.format("Attribution-ShareAlike")],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", _CC.format("Attribution-NoDerivatives")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", _CC.format("Attribution-NonCommercial")],
 }
 
 #: Words are runs of letters, digits and bytes of other characters.
@@ -199,22 +266,30 @@ class _Scanner:
         self.items = [(name, k, _keys(t)) for name, texts in templates.items() for k, t in enumerate(texts)]
         self.known = np.unique(np.concatenate([k for *_, k in self.items])) if self.items else np.zeros(0, np.uint64)
         self.coverage = coverage
+        self.wanted = [Counter(k.tolist()) for *_, k in self.items]
+        # how often each known word (row) is in each template (column)
+        self.table = np.array([[c[x] for c in self.wanted] for x in self.known.tolist()], np.int64).reshape(len(self.known), len(self.items))
+        self.least = np.array([coverage * len(k) for *_, k in self.items])
 
     def scan(self, column: pa.Array) -> list[list[dict]]:
         w = Words(column, sep=_SEP)
         out: list[list[dict]] = [[] for _ in range(w.n)]
         if not len(self.known):
             return out
-        hit = np.isin(w.key, self.known)
-        # a text lacks a template if it lacks more of its words than coverage allows
-        places = np.flatnonzero(hit)
+        word = np.minimum(np.searchsorted(self.known, w.key), len(self.known) - 1)
+        places = np.flatnonzero(self.known[word] == w.key)
         cut = np.searchsorted(w.doc[places], np.arange(w.n + 1))
-        for i in np.flatnonzero(np.diff(cut)).tolist():
+        # a text lacks a template if it lacks more of its words than coverage allows: at first, however often it has each
+        pair = np.unique(w.doc[places] * len(self.known) + word[places])
+        doc, first = np.unique(pair // len(self.known), return_index=True)
+        most = np.add.reduceat(self.table[pair % len(self.known)], first, axis=0) if len(doc) else np.zeros((0, len(self.items)), np.int64)
+        for row in np.flatnonzero((most >= self.least).any(axis=1)).tolist():
+            i = int(doc[row])
             at = places[cut[i] : cut[i + 1]]
             have = Counter(w.key[at].tolist())
-            for name, k, keys in self.items:
-                wanted = Counter(keys.tolist())
-                if sum(min(n, have[x]) for x, n in wanted.items()) < self.coverage * len(keys):
+            for t in np.flatnonzero(most[row] >= self.least).tolist():
+                name, k, keys = self.items[t]
+                if sum(min(n, have[x]) for x, n in self.wanted[t].items()) < self.least[t]:
                     continue
                 found = self._place(w, i, at, keys)
                 if found is not None:
