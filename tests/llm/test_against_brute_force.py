@@ -473,6 +473,49 @@ def test_a_repeated_notice_is_found(spark):
     assert hit.coverage == 1 and rows[1][1][hit.first_byte : hit.end_byte] == mit[:-1]
 
 
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_every_template_is_found_twice_amid_noise(spark):
+    rng = random.Random(3)
+    rows, names = [], []
+    for name, texts in license_scan.TEMPLATES.items():
+        for k, t in enumerate(texts):
+            noise = [" ".join(rng.choice(VOCAB) for _ in range(12)) for _ in range(3)]
+            rows.append((len(rows), f"{noise[0]} {t} {noise[1]} {t} {noise[2]}"))
+            names.append((name, k))
+    rows += [(len(rows) + i, sentences(rng, 30)) for i in range(20)]
+    got = {r.doc_id: r.found for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, k) in enumerate(names):
+        assert [x.coverage for x in got[i] if (x.license, x.template) == (name, k)] == [1.0], (name, k)
+    assert not any(got[i] for i in range(len(names), len(rows)))
+
+
+@here
+def test_license_query_against_the_best_window(spark, small):
+    """A template is found if and only if some window of the text, of twice its length, has enough of its words in order."""
+    short = [(n, w) for n, ts in license_scan.TEMPLATES.items() for t in ts if len(w := re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())) <= 12]
+    rows = {r.doc_id: r for r in QUERIES["op8_license"](spark, SMALL).collect()}
+    assert rows.keys() == small.keys()
+    full = {r.doc_id: {x.license for x in r.found} for r in license_scan.scan_licenses(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    for d, r in small.items():
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(r.text or ""))
+        for name, t in short:
+            at = [i for i, w in enumerate(words) if w in set(t)]
+            reach = max(8, 2 * len(t))
+            best = max((_lcs(t, words[i : i + reach]) for i in at), default=0) if len(set(words) & set(t)) >= 0.5 * len(t) else 0
+            if best >= 0.8 * len(t):
+                assert name in full[d]
+        assert rows[d].n_found >= len(full[d]) and (rows[d].license in full[d] if full[d] else rows[d].license is None)
+
+
 # ------------------------------------------------------------- 9 Jaccard
 
 
@@ -580,8 +623,17 @@ def test_only_texts_without_letters_are_undetermined(spark):
     assert all((got[i].lang_pred == "und") == (i >= len(letters)) for i in got) and got[len(letters) - 1].lang_pred == "en"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=8))
+def test_letters_are_those_of_unicode(text):
+    t = language.Letters(pa.array([text]))
+    assert int(t.letters.sum()) == sum(c.isalpha() and ord(c) < 0x34000 for c in text)
+
+
 @here
 def test_held_out_accuracy(spark, small):
-    rows = [r for r in QUERIES["op10_language"](spark, SMALL).collect() if r.held_out]
+    rows = QUERIES["op10_language"](spark, SMALL).collect()
+    assert rows and all((r.lang_pred == "und") == (not any(c.isalpha() for c in small[r.doc_id].text or "")) and (r.spans == "[]") == (r.lang_pred == "und") for r in rows)
+    rows = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == small[r.doc_id].lang for r in rows) >= 0.95 * len(rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
