@@ -52,15 +52,21 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
+#: Powers of SCALE (from 0 on) between which and the next there is a whole number; only these are levels.
+_STEPS = np.array([k for k in range(200) if np.ceil(SCALE**k - 1e-9) < np.ceil(SCALE ** (k + 1) - 1e-9)])
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, and one more for every factor SCALE."""
-    return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(SCALE) + 1e-9).astype(np.int64)
+    """1 for a count of 1, and one more for every factor SCALE, where that is another whole number."""
+    power = np.floor(np.log(np.maximum(count, 1)) / np.log(SCALE) + 1e-9)
+    return np.searchsorted(_STEPS, power.astype(np.int64)) + 1
 
 
 def count_at(level: np.ndarray) -> np.ndarray:
     """A count for a level: the middle of the whole numbers it stands for; 0 for level 0."""
-    low = np.ceil(SCALE ** (level - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(SCALE ** (1.0 * level) - 1e-9) - 1)
+    power = _STEPS[np.maximum(level, 1) - 1].astype(float)
+    low = np.ceil(SCALE**power - 1e-9)
+    high = np.maximum(low, np.ceil(SCALE ** (power + 1) - 1e-9) - 1)
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
@@ -190,33 +196,39 @@ class BloomCounts:
         at = segment_of(key, self.n_segments) - self.first
         return (at >= 0) & (at < len(self.bits) * 8 // SEGMENT_BITS)
 
-    def _hit(self, key: np.ndarray, level: np.ndarray | int) -> np.ndarray:
-        at = np.arange(len(key))
-        base = (segment_of(key, self.n_segments) - self.first) * SEGMENT_BITS
-        for place in positions(key, level):
-            spot = base[at] + place[at]
-            at = at[(self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(key), bool)
-        out[at] = True
-        return out
-
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of every key of this page, 0 for others: probes of level 1, 2, ... until one misses."""
-        level = np.zeros(len(key), np.int64)
+        level = np.zeros(len(key), np.uint8)
         at, j = np.flatnonzero(self.holds(key)), 0
+        base = (segment_of(key[at], self.n_segments) - self.first) * SEGMENT_BITS
         while len(at):
             j += 1
-            at = at[self._hit(key[at], j)]
+            entry, step = _entry(key[at], j)
+            for i in range(PROBES):
+                spot = base + _place(entry, step, i)
+                hit = np.flatnonzero((self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
+                if len(hit) < len(at):
+                    at, base, entry, step = at[hit], base[hit], entry[hit], step[hit]
             level[at] = j
         return level
 
 
-def positions(key: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
+def _entry(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the entry (key, level), and what each further probe adds to it."""
+    entry = mix(key + np.uint64(level * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
+    return entry, (entry >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(entry: np.ndarray, step: np.ndarray, probe: int) -> np.ndarray:
+    """Where in its segment the entry is looked for."""
+    return ((entry + np.uint64(probe) * step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+
+
+def positions(key: np.ndarray, level: int) -> Iterator[np.ndarray]:
     """Places inside its segment of the entry (key, level), one array for each probe."""
-    entry = mix(key + np.asarray(level, np.uint64) * _STEP)
-    step = (entry >> np.uint64(32)) | np.uint64(1)
+    entry, step = _entry(key, level)
     for i in range(PROBES):
-        yield ((entry + np.uint64(i) * step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+        yield _place(entry, step, i)
 
 
 def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> tuple[BloomCounts, DataFrame | None]:
@@ -308,7 +320,8 @@ def token_levels(page: BloomCounts, doc: np.ndarray, key: np.ndarray, words: np.
 
     words, which: distinct tokens, and each token's among them.
     """
-    return np.column_stack([page.levels(_word_entry(words))[which], page.levels(pair_keys(doc, key)[1])]).astype(np.uint8)
+    pairs, of = _distinct(pair_keys(doc, key)[1])
+    return np.column_stack([page.levels(_word_entry(words))[which], page.levels(pairs)[of]])
 
 
 def _note_levels(texts: DataFrame, page: BloomCounts, at: int) -> DataFrame:
