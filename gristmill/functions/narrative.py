@@ -25,14 +25,26 @@ def strip_tail(text: Column, heading: str = TAIL) -> Column:
     return F.when((F.size(pieces) > 1) & last.isNotNull() & (start > F.length(text) * 0.2), F.substring(text, F.lit(1), start)).otherwise(text)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def narrative_score(text: Column, source: Column, headings: tuple[str, ...] = HEADINGS, junk: str = JUNK_LINE, tail: str = TAIL, sources=STRUCTURED_SOURCES) -> Column:
     """2 * structure + 1.5 * length + prior - 2 * junk; 0 for a blank text."""
-    body = strip_tail(text, tail)
-    low = F.lower(body)
-    hits = sum((F.contains(low, F.lit(h)).cast("int") for h in headings), F.lit(0))
-    lines = F.filter(F.split(body, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: x.rlike(r"\S"))
-    bad = F.size(F.filter(lines, lambda x: x.rlike(junk)))
-    share = F.when(F.size(lines) > 0, bad / F.size(lines)).otherwise(0.0)
     prior = F.when(source.isin(*sources), 0.3).otherwise(0.0)
-    score = 2.0 * F.least(hits, F.lit(6)) / 6.0 + 1.5 * F.least(F.length(body), F.lit(20000)) / 20000.0 + prior - 2.0 * share
+
+    def structure(low: Column) -> Column:
+        hits = sum((F.contains(low, F.lit(h)).cast("int") for h in headings), F.lit(0))
+        return 2.0 * F.least(hits, F.lit(6)) / 6.0
+
+    def junk_share(lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(junk))) / F.size(lines)).otherwise(0.0)
+
+    def whole(body: Column) -> Column:
+        lines = F.filter(F.split(body, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: x.rlike(r"\S"))
+        length = 1.5 * F.least(F.length(body), F.lit(20000)) / 20000.0
+        return _once(F.lower(body), structure) + length + prior - 2.0 * _once(lines, junk_share)
+
+    score = _once(strip_tail(text, tail), whole)
     return F.when(F.coalesce(text.rlike(r"\S"), F.lit(False)), score).otherwise(0.0)

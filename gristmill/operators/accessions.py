@@ -36,14 +36,16 @@ def _hits(text: Column, kind: str, pattern: str, terms: tuple[str, ...], reach:
         lambda a: a["out"],
     )
 
-    def one(v: Column, i: Column) -> Column:
-        start = F.get(starts, i)
+    def score(window: Column) -> Column:
+        return sum((F.contains(window, F.lit(t)).cast("int") for t in terms), F.lit(0))
+
+    def one(v: Column, start: Column) -> Column:
         low = F.greatest(F.lit(0), start - reach)
         window = F.lower(F.substring(text, low + 1, start + F.length(v) + reach - low))
-        score = sum((F.contains(window, F.lit(t)).cast("int") for t in terms), F.lit(0))
-        return F.struct(F.lit(kind).alias("kind"), v.alias("value"), score.alias("context"))
+        # an array of one window, so that it is cut once for all terms
+        return F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.get(F.transform(F.array(window), score), F.lit(0)).alias("context"))
 
-    return F.transform(values, one)
+    return F.filter(F.zip_with(values, starts, one), lambda x: x["value"].isNotNull())  # the starts have one place more, after the last gap
 
 
 def mine(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = PATTERNS, terms: tuple[str, ...] = CONTEXT_TERMS, reach: int = WINDOW) -> DataFrame:

@@ -137,16 +137,43 @@ def faithfulness(study_fields: DataFrame, papers: DataFrame) -> DataFrame:
     A reported value without a quote is a violation; a quote is checked if its
     paper (study, text) has text, and matches if the text has it, case aside.
     """
-    f = study_fields.join(papers.select("study", "text"), "study", "left")
     quote = strip(F.coalesce("evidence_quote", F.lit("")))
-    checked = (quote != "") & F.coalesce(F.col("text") != "", F.lit(False))
-    matched = checked & F.contains(F.lower("text"), F.lower(quote))
-    out = f.agg(
-        F.count_if(~not_scored(F.col("value")) & (quote == "")).alias("violations"), F.count_if(checked).alias("checked"), F.count_if(matched).alias("matched")
+    # a study's quotes meet its text once; they are as many as it has fields
+    of_study = study_fields.groupBy("study").agg(
+        F.count_if(~not_scored(F.col("value")) & (quote == "")).alias("bare"), F.collect_list(F.when(quote != "", F.lower(quote))).alias("quotes")
+    )
+    joined = of_study.join(papers.select("study", F.lower("text").alias("text")), "study", "left")
+    has_text = F.coalesce(F.col("text") != "", F.lit(False))
+    found = F.size(F.filter("quotes", lambda q: F.contains(F.col("text"), q)))
+    out = joined.agg(
+        F.coalesce(F.sum("bare"), F.lit(0)).alias("violations"),
+        F.coalesce(F.sum(F.when(has_text, F.size("quotes")).otherwise(0)), F.lit(0)).alias("checked"),
+        F.coalesce(F.sum(F.when(has_text, found).otherwise(0)), F.lit(0)).alias("matched"),
     )
     return out.withColumn("rate", F.try_divide("matched", "checked"))
 
 
+def field_map(fields: list[str], gold_columns: list[str]) -> dict[str, str]:
+    """Each field to the gold column of its name; fields that gold does not have are left out."""
+    there = set(gold_columns)
+    return {f: f for f in fields if f in there}
+
+
+def by_study(cell: DataFrame) -> DataFrame:
+    """Counts and ratios of each field of each study; all studies in one job."""
+    return ratios(cell.groupBy("study", "field").agg(*counted()))
+
+
+def violations(study_fields: DataFrame, papers: DataFrame, most: int | None = None) -> DataFrame:
+    """(study, field, problem): values without a quote, and quotes that the paper does not have; the first `most` by study and field."""
+    quotes = study_fields.select("study", "field", "value", strip(F.coalesce("evidence_quote", F.lit(""))).alias("quote"))
+    joined = quotes.join(papers.select("study", "text"), "study", "left")
+    lost = (F.col("quote") != "") & (F.col("text") != "") & ~F.contains(F.lower("text"), F.lower("quote"))
+    problem = F.when(~not_scored(F.col("value")) & (F.col("quote") == ""), "no quote").when(lost, "quote not in the text")
+    out = joined.select("study", "field", problem.alias("problem")).where("problem IS NOT NULL")
+    return out if most is None else out.orderBy("study", "field").limit(most)
+
+
 def over_fields(metrics: DataFrame, fields: list[str]) -> DataFrame:
     """Summed counters of a set of fields."""
     return metrics.where(F.col("field").isin(*fields)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])

@@ -25,6 +25,12 @@ def merge_batches(values: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("sample_id").distinct().join(first, "sample_id", "left")
 
 
+def same_subgroups(batches: DataFrame, study: str = "study", subgroups: str = "subgroups") -> DataFrame:
+    """(study, n_batches, same): whether all batches of a study name the same set of subgroups."""
+    sets = batches.withColumn("__set", F.array_sort(F.array_distinct(F.coalesce(F.col(subgroups), F.array().cast("array<string>")))))
+    return sets.groupBy(study).agg(F.count("*").alias("n_batches"), (F.min("__set") == F.max("__set")).alias("same"))
+
+
 def merge_warnings(values: DataFrame, ids: DataFrame) -> DataFrame:
     """(batch, kind, n): rows of a batch without an id, with an unknown id, or that differ from an earlier batch."""
     known = ids.select("sample_id").distinct().withColumn("known", F.lit(True))

@@ -7,7 +7,8 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import no_term
+from ..functions.missing import no_publication, no_term
+from ..functions.strings import whole_id
 from ..sources.schema import Schema
 
 #: Fixed value: longest header that a mapper takes.
@@ -44,6 +45,36 @@ def totals(metrics: DataFrame, by: list[str], counters: tuple[str, ...]) -> Data
     return metrics.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
 
 
+def joined_in_order(df: DataFrame, by: str, value: str, order: str, sep: str = "; ") -> DataFrame:
+    """by, names: the distinct values of a group in the order in which each is first seen."""
+    first = df.groupBy(by, value).agg(F.min(order).alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v"))))  # distinct values of a group
+    return first.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["v"]), sep).alias("names"))
+
+
+def long_to_wide(df: DataFrame, by: list[str], field: str, value: str, order: str, fields: list[str]) -> DataFrame:
+    """A row a group and a column for each listed field: the value that comes first in order, null where there is none."""
+    return df.groupBy(*by).pivot(field, fields).agg(F.min_by(value, order))
+
+
+def usage(df: DataFrame, by: list[str], counters: list[str]) -> DataFrame:
+    """Counters added up, null as 0, and the number of calls."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters])
+
+
+def eligible(rows: DataFrame, study: str, publication: str, order: str, most: int | None = None, least_rows: int = 1) -> DataFrame:
+    """(study, publication, n_samples): studies of one publication number and enough rows, the first `most` of the given order.
+
+    A number counts in its whole-number spelling; rows without one count as samples of a study that has one.
+    """
+    number = F.when(~no_publication(F.col(publication)), whole_id(F.col(publication)))
+    grouped = rows.groupBy(F.col(study).alias("study")).agg(
+        F.countDistinct(number).alias("k"), F.min(number).alias("publication"), F.count("*").alias("n_samples"), F.min(order).alias("at")
+    )
+    fit = grouped.where((F.col("k") == 1) & (F.col("n_samples") >= least_rows))
+    return (fit if most is None else fit.orderBy("at").limit(most)).select("study", "publication", "n_samples")
+
+
 def tasks(*lists: tuple[str, list]) -> Column:
     """An array of all combinations of literal lists, to inline over a table: runs to make of each study."""
     combos: list[tuple] = [()]

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 PROVENANCE = (("evidence_quote", "evidence"), ("section", "section"), ("confidence", "confidence"))
 
 
-def cell_text(c: Column, is_list: bool = False) -> Column:
-    """A value as a CSV cell: null is '', a list is joined by `; `."""
-    return F.coalesce(F.array_join(c, "; ", "") if is_list else c.cast("string"), F.lit(""))
+def cell_text(c: Column, is_list: bool = False, depth: int = 1) -> Column:
+    """A value as a CSV cell: null is '', a list is joined by `; `, and so are lists in it down to `depth`."""
+    if not is_list:
+        return F.coalesce(c.cast("string"), F.lit(""))
+    items = F.transform(c, lambda x: cell_text(x, True, depth - 1)) if depth > 1 else c
+    return F.coalesce(F.array_join(items, "; ", ""), F.lit(""))
 
 
 def _keys(df: DataFrame, bag: str) -> list[str]:
@@ -63,6 +66,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_pretty_json(df: DataFrame, path: str) -> None:
+    """An indented document for each row."""
+    df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def benchmark_report(by_study: DataFrame, totals: DataFrame) -> str:
+    """A block a study with its fields, then the fields over all studies; identifiers last.  Both tables are schema-sized."""
+    rows = sorted(by_study.collect(), key=lambda r: (r.study, r.field.endswith("_id"), r.field))
+    lines: list[str] = []
+    for k, r in enumerate(rows):
+        lines += [f"## {r.study}"] if not k or rows[k - 1].study != r.study else []
+        lines.append(_line(r.field, r))
+    return "\n".join([*lines, "## all studies", *[_line(r.field, r) for r in sorted(totals.collect(), key=lambda r: (r.field.endswith("_id"), r.field))]])
+
+
+def repeats_report(summary: DataFrame, by: str, values: list[str]) -> tuple[str, list[dict]]:
+    """Median and range of each value over repeated runs, as text and as rows for JSON."""
+    rows = [r.asDict() for r in summary.orderBy(by).collect()]
+    text = [f"{r[by]:<24} " + "  ".join(f"{v}={_shown(r[f'{v}_median'], 3)} [{_shown(r[f'{v}_min'], 3)}, {_shown(r[f'{v}_max'], 3)}]" for v in values) for r in rows]
+    return "\n".join(text), rows
+
+
 def _shown(x: float | None, digits: int = 2) -> str:
     return "-" if x is None else f"{x:.{digits}f}"
 
@@ -73,12 +98,20 @@ def _line(label: str, r) -> str:
     return f"{label:<24} {counts}  {rates}"
 
 
-def text_report(by_field: DataFrame, total: DataFrame, strata: DataFrame | None = None, cells: DataFrame | None = None, most: int = 20) -> str:
-    """Metrics of fields (identifiers last), of all, of strata, and the first `most` cells that are wrong."""
+def text_report(
+    by_field: DataFrame, total: DataFrame, strata: DataFrame | None = None, cells: DataFrame | None = None, most: int = 20,
+    faithful: DataFrame | None = None, violations: DataFrame | None = None, most_violations: int = 8,
+) -> str:
+    """Metrics of fields (identifiers last), of all, of strata, faithfulness, and the first violations and wrong cells."""
     rows = sorted(by_field.collect(), key=lambda r: (r.field.endswith("_id"), r.field))
     lines = [_line(r.field, r) for r in rows] + [_line("all fields", total.first())]
     for r in sorted(strata.collect(), key=lambda r: (r.stratum, r.label)) if strata is not None else []:
         lines.append(_line(f"{r.stratum}: {r.label}", r))
+    if faithful is not None:
+        r = faithful.first()
+        lines.append(f"quotes: {r.matched} of {r.checked} found ({_shown(r.rate)}), {r.violations} values without")
+    for r in violations.orderBy("study", "field").limit(most_violations).collect() if violations is not None else []:
+        lines.append(f"{r.study} {r.field}: {r.problem}")
     if cells is not None:
         bad = cells.where(F.col("decision").isin("TP_wrong", "FN", "FP")).orderBy("study", "sample_idx", "field").limit(most)
         lines += [f"{r.decision:<9} {r.sample_idx} {r.field}: {r.extracted!r} against {r.gold!r}" for r in bad.collect()]

@@ -74,14 +74,17 @@ def _try(get: Get, url: str) -> bytes | None:
         return None
 
 
-def pmc_of(pmid: str, get: Get) -> str | None:
-    """The article number linked to a publication by its own link set, not by citations."""
-    data = _try(get, f"{EUTILS}/elink.fcgi?dbfrom=pubmed&db=pmc&id={pmid}")
-    if data is None:
-        return None
-    for group in ElementTree.fromstring(data).iter("LinkSetDb"):
-        if group.findtext("LinkName") == "pubmed_pmc":
-            return group.findtext("Link/Id")
+def pmc_of(pmid: str, get: Get, retries: int = 4) -> str | None:
+    """The article number linked to a publication by its own link set, not by citations.
+
+    An answer without any link set is asked for again; one without the link is final.
+    """
+    for _ in range(retries):
+        data = _try(get, f"{EUTILS}/elink.fcgi?dbfrom=pubmed&db=pmc&id={pmid}")
+        root = ElementTree.fromstring(data) if data is not None else None
+        if root is not None and root.find(".//LinkSet") is not None:
+            links = (g.findtext("Link/Id") for g in root.iter("LinkSetDb") if g.findtext("LinkName") == "pubmed_pmc")
+            return next(links, None)
     return None
 
 
@@ -243,6 +246,17 @@ def run_manifest(project: str, get: Get, most: int = MOST_RUNS) -> list[list[str
     return None
 
 
+def manifest_for(projects: list[str], get: Get, explicit: str | None = None) -> tuple[list[list[str]] | None, list[str]]:
+    """(rows, warnings) of the first project with runs: the explicit one alone, or those that the text was found to own."""
+    warnings = [] if explicit or projects else ["no project of the article's own"]
+    for project in [explicit] if explicit else projects:
+        rows = run_manifest(project, get)
+        if rows:
+            return rows, warnings
+        warnings.append(f"{project}: no runs")
+    return None, warnings
+
+
 def latest_version(listing: bytes, number: str) -> str | None:
     """The prefix of the highest numbered version in an object store's listing."""
     found = re.findall(rf"<Prefix>([^<]*PMC{number}\.([0-9]+)/)</Prefix>", listing.decode("utf-8", "replace"))
