@@ -121,3 +121,41 @@ def test_pipeline_stages(spark, docs, none):
             assert stage(spark, rows, "").columns == real.columns, name
         assert "sequence_id" in corpus_pipeline.STAGES[-1][1](spark, rows, "").columns
     assert corpus_pipeline.STAGES[2][1](spark, real, "").where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_equal_rows_and_keys_of_any_type(spark):
+    text = " ".join(f"Sentence number {i} has some words of its own here." for i in range(30))
+    rows = [("b", text), ("a", text), (None, text), (None, text), ("a", text), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = substring.dedup_substrings(docs)
+    assert sorted(r.n_removed for r in got.collect()) == [0, 0, 30, 30, 30, 30] and {r.doc_id for r in got.where("n_removed = 0").collect()} == {"a", "c"}
+    one_key = spark.createDataFrame([(1, text), (1, text), (1, text + " More.")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring.dedup_substrings(one_key).collect()) == [0, 30, 30]
+    near = fingerprint.compare_neighbours(docs).collect()
+    assert [r.doc_id for r in near if r.n_chars == 0] == ["c"] and len(near) == len(rows)
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["doc_id", "text", "source", "row", "wordless", "order", "of", "no", "block", "shards", "shard", "copy", "id", "spans", "c0", "number"]
+    rows = [(str(i), f"word{i} and some more words of text {i % 3}", "s", *[f"{n}{i}" for n in names[3:]]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    for run in (jaccard.keep_one, substring.dedup_substrings, mixing.mix, quality.keep_good):
+        got = run(docs)
+        assert got.columns[: len(names)] == names, run
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names[3:]), run
+    packing.pack(docs).count()
+
+
+def test_texts_longer_than_a_slab(spark):
+    from gristmill.llm import _text
+
+    words = [f"w{i % 977}x{i % 1013}" for i in range(300_000)]
+    text = " ".join(words)
+    assert len(text) > _text.SLAB_BYTES
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, text)], "doc_id long, text string")
+    (n, *_), other = sorted((r.n_words for r in quality.quality_cascade(docs, report=("n_words",)).collect()), reverse=True), 2
+    assert n == len(words)
+    assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1, other}
+    assert sum(r.size for r in mixing.mix_counts(docs.withColumn("source", F.lit("a"))).collect()) == 2 * len(words) + 2
+    kept = {r.doc_id: r.text for r in substring.dedup_substrings(docs).collect()}
+    assert kept[1] == text and len(kept[3]) < 100
