@@ -4,9 +4,11 @@ Counts of all words and word pairs of the training texts are quantised on a
 logarithmic scale.  An n-gram of level j is put into a Bloom filter together
 with each of the levels 1..j, so its count is read back by probing the levels
 in turn until one is missing.  Every counted n-gram is in it, at every size of
-input: the filter grows with them and is broadcast in pages of a fixed largest
-size, one at a time; where there is more than one, passes over the texts note
-the levels page by page.
+input: the filter grows with them.  Up to FILTER_BITS it is broadcast.  A larger
+one stays a table of groups of segments; the distinct n-grams of a few megabytes
+of text at a time are shuffled to the groups that tell their levels, and the
+levels back to the texts, so the work grows with the texts and not with the
+filter.  Both ways make the same probes and give the same levels.
 
 A word's probability after another is the pair's share of the context's count,
 smoothed by a Dirichlet prior around the word's own probability.  The prior's
@@ -29,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import discard, map_batches, materialize
-from ._text import Words, mix, slabs, string_buffers
+from ._store import BATCH_BYTES, discard, map_batches, materialize
+from ._text import Words, mix, slabs
 
-#: Largest page of the filter (bits): what a worker holds at a time.
+#: Largest filter that is broadcast (bits).
 FILTER_BITS = 1 << 29
 SEGMENT_BITS = 1 << 19
+#: Segments of a group of a larger filter, and the bytes of probes that a group should be asked at once.
+GROUP, ASKED_BYTES = 16, 32 << 20
 PROBES = 6
 #: Bits that the filter should have for each entry.
 BITS_PER_ENTRY = 9.6
@@ -185,22 +189,17 @@ def segment_of(key: np.ndarray, n_segments: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class BloomCounts:
-    """A page of the filter: bits of the segments from `first` on, and the number of segments of the whole filter."""
+    """Some segments of the filter, from `first` on, and the number of segments of the whole filter."""
 
     bits: np.ndarray
     n_segments: int
     first: int = 0
 
-    def holds(self, key: np.ndarray) -> np.ndarray:
-        """Whether this page tells the level of each key."""
-        at = segment_of(key, self.n_segments) - self.first
-        return (at >= 0) & (at < len(self.bits) * 8 // SEGMENT_BITS)
-
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Level of every key of this page, 0 for others: probes of level 1, 2, ... until one misses."""
+        """Level of every key, all of these segments: probes of level 1, 2, ... until one misses."""
         level = np.zeros(len(key), np.uint8)
-        at, j = np.flatnonzero(self.holds(key)), 0
-        base = (segment_of(key[at], self.n_segments) - self.first) * SEGMENT_BITS
+        at, j = np.arange(len(key)), 0
+        base = (segment_of(key, self.n_segments) - self.first) * SEGMENT_BITS
         while len(at):
             j += 1
             entry, step = _entry(key[at], j)
@@ -231,14 +230,15 @@ def positions(key: np.ndarray, level: int) -> Iterator[np.ndarray]:
         yield _place(entry, step, i)
 
 
-def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> tuple[BloomCounts, DataFrame | None]:
-    """The first page of the filter of all counted n-grams; where there are more pages, also the table of all segments."""
+def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> tuple[BloomCounts | None, int, DataFrame | None]:
+    """The filter of all counted n-grams (none where it is too large to broadcast), its number of segments, and else the table of its groups."""
     total = sum(v[0] * j * BITS_PER_ENTRY for (_, j), v in hist.items())
     n_segments = 1 << int(np.ceil(np.log2(max(1.0, total / SEGMENT_BITS))))
-    if n_segments > _page():
-        n_segments = _page() * int(np.ceil(total / FILTER_BITS))
+    small = n_segments * SEGMENT_BITS <= FILTER_BITS
+    if not small:
+        n_segments = GROUP * int(np.ceil(total / SEGMENT_BITS / GROUP))
     # segments that one group fills, so that rows of few keys do not multiply
-    together = min(8, 1 << (max(1, n_segments // _page()).bit_length() - 1), _page())
+    together = 1 if small else GROUP
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,41 +263,28 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
             keys, base, level = keys[level >= j], base[level >= j], level[level >= j]
             for place in positions(keys, j):
                 bits[base + place] = True
-        blobs = np.packbits(bits, bitorder="little").reshape(together, -1)
-        return pa.table({"bucket": pa.array(range(first, first + together), pa.int64()), "bits": [b.tobytes() for b in blobs]})
+        return pa.table({"bucket": table.column("bucket")[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     chosen = map_batches(counts, choose, _PACKED)
-    segments = chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
-    if n_segments <= _page():
-        return read_page(segments, n_segments, 0), None
-    segments = materialize(segments, "filter")
-    return read_page(segments, n_segments, 0), segments
-
-
-def _page() -> int:
-    """Segments of a page."""
-    return max(1, FILTER_BITS // SEGMENT_BITS)
-
-
-def read_page(segments: DataFrame, n_segments: int, first: int) -> BloomCounts:
-    """The page that begins with the segment `first`."""
-    size = min(_page(), n_segments - first)
-    bits = np.zeros((size, SEGMENT_BITS // 8), np.uint8)
-    mine = segments if size == n_segments else segments.where(F.col("bucket").between(first, first + size - 1))
-    for r in mine.toArrow().to_batches():
+    groups = chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
+    if not small:
+        return None, n_segments, materialize(groups, "filter")
+    bits = np.zeros((n_segments, SEGMENT_BITS // 8), np.uint8)
+    for r in groups.toArrow().to_batches():
         for b, blob in zip(r.column(0).to_pylist(), r.column(1)):
-            bits[b - first] = np.frombuffer(blob.as_buffer(), np.uint8)
-    return BloomCounts(bits.reshape(-1), n_segments, first)
+            bits[b] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return BloomCounts(bits.reshape(-1), n_segments), n_segments, None
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    """What the scoring pass needs: a page of the filter, exact counts of frequent words, the totals and the prior's strength.
+    """What the scoring pass needs: the filter, exact counts of frequent words, the totals and the prior's strength.
 
-    segments: the whole filter, where it has more than one page; it does not travel to the workers.
+    segments: the table of the filter's groups, where it is too large to travel to the workers; then filter is None.
     """
 
-    filter: BloomCounts
+    filter: BloomCounts | None
+    n_segments: int
     head_keys: np.ndarray
     head_counts: np.ndarray
     n_tokens: int
@@ -315,33 +302,94 @@ class NgramModel:
         return np.log10((together + self.prior * plain) / (before + self.prior))
 
 
-def token_levels(page: BloomCounts, doc: np.ndarray, key: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Levels of every token and of its pair with the one before, as two columns; 0 where another page tells them.
+@dataclass(frozen=True)
+class Probes:
+    """The tokens of some texts, and the distinct n-grams whose levels they need.
 
-    words, which: distinct tokens, and each token's among them.
+    words, which: distinct tokens, and each token's among them; entries: keys of
+    the words and then of the pairs in the filter; pair: each token's pair among
+    the entries.
     """
-    pairs, of = _distinct(pair_keys(doc, key)[1])
-    return np.column_stack([page.levels(_word_entry(words))[which], page.levels(pairs)[of]])
 
+    texts: Words
+    doc: np.ndarray
+    key: np.ndarray
+    words: np.ndarray
+    which: np.ndarray
+    entries: np.ndarray
+    pair: np.ndarray
 
-def _note_levels(texts: DataFrame, page: BloomCounts, at: int) -> DataFrame:
-    """texts, with the levels that the page tells added to the last column; the text is column `at`."""
-    shared = texts.sparkSession.sparkContext.broadcast(page)
+    @classmethod
+    def of(cls, column: pa.Array) -> Probes:
+        w = Words(column)
+        doc, key = tokens(w)
+        words, which = _distinct(key)
+        pairs, pair = _distinct(pair_keys(doc, key)[1])
+        return cls(w, doc, key, words, which, np.concatenate([_word_entry(words), pairs]), pair + len(words))
+
+    def by_group(self, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
+        """(group of every entry, order of the entries by group)."""
+        group = segment_of(self.entries, n_segments) // GROUP
+        return group, np.argsort(group, kind="stable")
+
+    def per_token(self, level: np.ndarray) -> np.ndarray:
+        """Levels of the entries as two columns, of every token and of its pair with the one before."""
+        return np.column_stack([level[self.which], level[self.pair]])
+
+
+def _slabs(texts: DataFrame) -> DataFrame:
+    """Some megabytes of rows at a time in one row, whose number `slab` is the first of the numbers of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo, hi in slabs(batch.column(at)):
-                part = batch.slice(lo, hi - lo)
-                w = Words(part.column(at))
-                doc, key = tokens(w)
-                levels = token_levels(shared.value, doc, key, *_distinct(key)) + _noted(part.column(at + 1), len(key))
-                cut, flat = 2 * (w.ptr + np.arange(w.n + 1)), levels.tobytes()
-                blobs = pa.array([flat[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[: at + 1], blobs], part.schema.names)
-
-    out = materialize(map_batches(texts, run, texts.schema), "levels")
-    shared.destroy()
-    return out
+            if batch.num_rows == 0:
+                continue
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slab", "rows"])
+            slab += batch.num_rows
+
+    return materialize(map_batches(texts, run, "slab long, rows binary"), "slabs")
+
+
+def _slab(value: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> DataFrame:
+    """Levels (slab, bucket, levels) of the entries of every slab, in the order of Probes.by_group; the text is column `at`.
+
+    A group of the filter is asked in as many parts as its probes need, each with a copy of its bits.
+    """
+    parts = int(np.ceil(max(1, slabs_.count()) * BATCH_BYTES / (n_segments / GROUP) / ASKED_BYTES))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                probes = Probes.of(_slab(value).column(at))
+                group, by = probes.by_group(n_segments)
+                keys = probes.entries[by]
+                ids, cut = np.unique(group[by], return_index=True)
+                blobs = [keys[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(keys)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), slab)), pa.array(ids), pa.array(blobs, pa.binary())], ["slab", "bucket", "keys"])
+
+    def tell(asked: pa.Table, group: pa.Table) -> pa.Table:
+        if asked.num_rows == 0:
+            return pa.table({"slab": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
+        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in asked.column("keys")]
+        ends = np.cumsum([0, *map(len, keys)])
+        level = np.zeros(ends[-1], np.uint8)
+        if group.num_rows:
+            bits = np.frombuffer(group.column("bits")[0].as_buffer(), np.uint8)
+            level = BloomCounts(bits, n_segments, group.column("bucket")[0].as_py() * GROUP).levels(np.concatenate(keys))
+        return pa.table({"slab": asked.column("slab"), "bucket": asked.column("bucket"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+
+    asked = map_batches(slabs_, ask, "slab long, bucket long, keys binary")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("slab", "bucket"), F.lit(parts).cast("long")))
+    copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(tell, "slab long, bucket long, levels binary")
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,11 +398,6 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-def _noted(column: pa.Array, n: int) -> np.ndarray:
-    """Levels of the n tokens of some texts that earlier pages told."""
-    return string_buffers(column)[1].reshape(n, 2) if column.null_count < len(column) else np.zeros((n, 2), np.uint8)
-
-
 def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
     """Learns from every row; also gives the exact counts (word, n) of the words that the model does not carry."""
     counts = materialize(count_ngrams(docs, text), "ngrams")
@@ -391,11 +434,11 @@ def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
     head = as_rows(True).toArrow()
     keys = head.column("word").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    page, segments = build_filter(counts, hist)
+    bloom, n_segments, segments = build_filter(counts, hist)
     prior = fit_prior([(t, m / t) for (o, _), (t, m) in hist.items() if o == 1], hist.get((2, 1), (0, 0))[0])
     rare = materialize(as_rows(False), "rare")
     discard(counts)
-    return NgramModel(page, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, prior, segments), rare
+    return NgramModel(bloom, n_segments, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, prior, segments), rare
 
 
 def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
@@ -410,50 +453,51 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
     extra = [("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_score", T.DoubleType()), ("score", T.DoubleType())]
     extra += [("row", T.LongType()), ("rare", T.ArrayType(T.LongType()))]
     schema = T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)], *[T.StructField(n, t) for n, t in extra]])
-    denominator = model.n_tokens + model.n_types + 1
-    earlier = None
-    if model.segments is not None:
-        texts = picked.toDF(*[f"k{i}" for i in range(len(kept))], "text").withColumn("levels", F.lit(None).cast("binary"))
-        n_segments, page = model.filter.n_segments, model.filter
-        for first in range(_page(), n_segments, _page()):
-            texts = _note_levels(texts, page, len(kept))
-            if earlier is not None:
-                discard(earlier)
-            page, earlier = read_page(model.segments, n_segments, first), texts
-        picked, model = texts, replace(model, filter=page, segments=None)
+    denominator, n_segments = model.n_tokens + model.n_types + 1, model.n_segments
     # FILTER_BITS / 8 + 16 * HEAD_WORDS bytes at most
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
+
+    def scored(part: pa.RecordBatch, probes: Probes, level: np.ndarray, row: int) -> list[pa.Array]:
+        known, doc, key, n = shared.value, probes.doc, probes.key, part.num_rows
+        place = np.minimum(np.searchsorted(known.head_keys, probes.words), max(len(known.head_keys) - 1, 0))
+        in_head = known.head_keys[place] == probes.words if len(known.head_keys) else np.zeros(len(probes.words), bool)
+        head = in_head[probes.which]
+        value = np.zeros(len(probes.words))
+        value[in_head] = np.log10((known.head_counts[place[in_head]] + 1) / denominator)
+        base = value[probes.which[head]]
+        tail, tail_doc = key[~head], doc[~head]
+        bounds = np.searchsorted(tail_doc, np.arange(n + 1)).astype(np.int32)
+        arrays = part.columns[: len(kept)]
+        arrays += [pa.array(probes.texts.counts + 1), pa.array(np.bincount(doc[head], minlength=n))]
+        arrays += [pa.array(np.bincount(doc[head], weights=base, minlength=n).astype(float))]
+        arrays += [pa.array(np.bincount(doc, weights=known.log_prob(probes.per_token(level)), minlength=n).astype(float))]
+        return [*arrays, pa.array(np.arange(row, row + n)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tail.view(np.int64)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = shared.value, TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            column = batch.column(len(kept))
-            for lo, hi in slabs(column):
-                w = Words(column.slice(lo, hi - lo))
-                doc, key = tokens(w)
-                words, which = _distinct(key)
-                levels = token_levels(known.filter, doc, key, words, which)
-                if batch.num_columns > len(kept) + 1:
-                    levels += _noted(batch.column(len(kept) + 1).slice(lo, hi - lo), len(key))
-                place = np.minimum(np.searchsorted(known.head_keys, words), max(len(known.head_keys) - 1, 0))
-                in_head = known.head_keys[place] == words if len(known.head_keys) else np.zeros(len(words), bool)
-                head = in_head[which]
-                value = np.zeros(len(words))
-                value[in_head] = np.log10((known.head_counts[place[in_head]] + 1) / denominator)
-                base = value[which[head]]
-                tail, tail_doc = key[~head], doc[~head]
-                bounds = np.searchsorted(tail_doc, np.arange(w.n + 1)).astype(np.int32)
-                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
-                arrays += [pa.array(w.counts + 1), pa.array(np.bincount(doc[head], minlength=w.n))]
-                arrays += [pa.array(np.bincount(doc[head], weights=base, minlength=w.n).astype(float))]
-                arrays += [pa.array(np.bincount(doc, weights=known.log_prob(levels), minlength=w.n).astype(float))]
-                arrays += [pa.array(np.arange(row, row + w.n)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tail.view(np.int64)))]
-                row += w.n
-                yield pa.RecordBatch.from_arrays(arrays, schema.names)
-
-    first = materialize(map_batches(picked, run, schema), "scores")
-    if earlier is not None:
-        discard(earlier)
+            for lo, hi in slabs(batch.column(len(kept))):
+                part = batch.slice(lo, hi - lo)
+                probes = Probes.of(part.column(len(kept)))
+                yield pa.RecordBatch.from_arrays(scored(part, probes, shared.value.filter.levels(probes.entries), row), schema.names)
+                row += hi - lo
+
+    def finish(slab: pa.Table, told: pa.Table) -> pa.Table:
+        part = _slab(slab.column("rows")[0])
+        probes = Probes.of(part.column(len(kept)))
+        level = np.empty(len(probes.entries), np.uint8)
+        blobs = told.sort_by("bucket").column("levels")
+        level[probes.by_group(n_segments)[1]] = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in blobs])
+        return pa.Table.from_arrays(scored(part, probes, level, slab.column("slab")[0].as_py()), schema.names)
+
+    if model.segments is None:
+        first = materialize(map_batches(picked, run, schema), "scores")
+    else:
+        texts = _slabs(picked.toDF(*schema.names[: len(kept)], "text"))
+        told = _asked(texts, len(kept), n_segments, model.segments)
+        first = materialize(texts.groupBy("slab").cogroup(told.groupBy("slab")).applyInArrow(finish, schema), "scores")
+        discard(texts)
+    shared.destroy()
     left = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = left.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per_row = found.groupBy("row").agg(

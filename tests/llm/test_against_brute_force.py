@@ -207,6 +207,23 @@ def test_a_filter_of_many_pages_drops_nothing(spark, monkeypatch):
     assert got[3] == pytest.approx(math.log10(k * 3 / denominator / (2 + k)), rel=0.05)
 
 
+@here
+def test_a_shuffled_filter_scores_as_a_broadcast_one(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model, rare = ngram_model.train(docs)
+    want = {r.doc_id: r for r in ngram_model.score(docs, model, rare).collect()}
+    monkeypatch.setattr(ngram_model, "FILTER_BITS", ngram_model.SEGMENT_BITS)
+    monkeypatch.setattr(ngram_model, "ASKED_BYTES", 1 << 18)
+    shuffled, rare = ngram_model.train(docs)
+    assert model.segments is None and shuffled.filter is None and shuffled.segments is not None
+    got = ngram_model.score(docs, shuffled, rare).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=0.02, abs=0.5)  # false positives differ
+        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
+        assert r.base_score == pytest.approx(want[r.doc_id].base_score)
+
+
 def _quantised(count):
     """The middle of the whole numbers that share a count's level."""
     if not count:
