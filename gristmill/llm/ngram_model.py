@@ -37,7 +37,7 @@ from ._text import Words, mix, slabs
 #: Largest filter that is broadcast (bits).
 FILTER_BITS = 1 << 29
 SEGMENT_BITS = 1 << 19
-#: Segments of a group of a larger filter, and the bytes of probes that a group should be asked at once.
+#: Segments of a group of a larger filter, and the bytes of texts whose probes a group should be asked at once.
 GROUP, ASKED_BYTES = 16, 32 << 20
 PROBES = 6
 #: Bits that the filter should have for each entry.
@@ -187,19 +187,32 @@ def segment_of(key: np.ndarray, n_segments: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(n_segments)) >> np.uint64(32)).astype(np.int64)
 
 
+def rests(key: np.ndarray) -> np.ndarray:
+    """What tells keys of one group apart: 32 bits that do not tell the group.
+
+    A group has some 600,000 keys at every size of input, so two of them, or one
+    of them and a key that was never counted, share a rest once in some 7000 times.
+    """
+    return key.astype(np.uint32)
+
+
+def spread(rest: np.ndarray) -> np.ndarray:
+    """The keys by which a group's filter knows the rests."""
+    return mix(rest.astype(np.uint64) * _ODD)
+
+
 @dataclass(frozen=True)
 class BloomCounts:
-    """Some segments of the filter, from `first` on, and the number of segments of the whole filter."""
+    """A filter of n_segments segments: the whole one, or one group of a larger one, which is asked for rests of keys."""
 
     bits: np.ndarray
     n_segments: int
-    first: int = 0
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Level of every key, all of these segments: probes of level 1, 2, ... until one misses."""
+        """Level of every key: probes of level 1, 2, ... until one misses."""
         level = np.zeros(len(key), np.uint8)
         at, j = np.arange(len(key)), 0
-        base = (segment_of(key, self.n_segments) - self.first) * SEGMENT_BITS
+        base = segment_of(key, self.n_segments) * SEGMENT_BITS
         while len(at):
             j += 1
             entry, step = _entry(key[at], j)
@@ -246,7 +259,7 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
                 level = level_of(total).astype(np.uint8)
                 if order == 1:
                     keys = _word_entry(keys)
-                group = segment_of(keys, n_segments) // together
+                group = segment_of(keys, n_segments if small else n_segments // GROUP)
                 by = np.argsort(group, kind="stable")
                 keys, level = keys[by], level[by]
                 ids, cut = np.unique(group[by], return_index=True)
@@ -257,8 +270,11 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
         bits = np.zeros(together * SEGMENT_BITS, bool)
         keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
         level = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("counts")])
-        first = table.column("bucket")[0].as_py() * together
-        base = (segment_of(keys, n_segments) - first) * SEGMENT_BITS
+        if small:
+            base = np.zeros(len(keys), np.int64)
+        else:
+            keys = spread(rests(keys))
+            base = segment_of(keys, GROUP) * SEGMENT_BITS
         for j in range(1, int(level.max(initial=0)) + 1):
             keys, base, level = keys[level >= j], base[level >= j], level[level >= j]
             for place in positions(keys, j):
@@ -329,7 +345,7 @@ class Probes:
 
     def by_group(self, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
         """(group of every entry, order of the entries by group)."""
-        group = segment_of(self.entries, n_segments) // GROUP
+        group = segment_of(self.entries, n_segments // GROUP)
         return group, np.argsort(group, kind="stable")
 
     def per_token(self, level: np.ndarray) -> np.ndarray:
@@ -346,7 +362,7 @@ def _slabs(texts: DataFrame) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slab", "rows"])
             slab += batch.num_rows
@@ -370,7 +386,7 @@ def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> Da
             for slab, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 probes = Probes.of(_slab(value).column(at))
                 group, by = probes.by_group(n_segments)
-                keys = probes.entries[by]
+                keys = rests(probes.entries[by])
                 ids, cut = np.unique(group[by], return_index=True)
                 blobs = [keys[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(keys)))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), slab)), pa.array(ids), pa.array(blobs, pa.binary())], ["slab", "bucket", "keys"])
@@ -378,18 +394,19 @@ def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> Da
     def tell(asked: pa.Table, group: pa.Table) -> pa.Table:
         if asked.num_rows == 0:
             return pa.table({"slab": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
-        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in asked.column("keys")]
+        keys = [np.frombuffer(k.as_buffer(), np.uint32) for k in asked.column("keys")]
         ends = np.cumsum([0, *map(len, keys)])
         level = np.zeros(ends[-1], np.uint8)
         if group.num_rows:
             bits = np.frombuffer(group.column("bits")[0].as_buffer(), np.uint8)
-            level = BloomCounts(bits, n_segments, group.column("bucket")[0].as_py() * GROUP).levels(np.concatenate(keys))
+            level = BloomCounts(bits, GROUP).levels(spread(np.concatenate(keys)))
         return pa.table({"slab": asked.column("slab"), "bucket": asked.column("bucket"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     asked = map_batches(slabs_, ask, "slab long, bucket long, keys binary")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("slab", "bucket"), F.lit(parts).cast("long")))
     copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(tell, "slab long, bucket long, levels binary")
+    told = asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(tell, "slab long, bucket long, levels binary")
+    return materialize(told, "levels")
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -496,7 +513,7 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
         texts = _slabs(picked.toDF(*schema.names[: len(kept)], "text"))
         told = _asked(texts, len(kept), n_segments, model.segments)
         first = materialize(texts.groupBy("slab").cogroup(told.groupBy("slab")).applyInArrow(finish, schema), "scores")
-        discard(texts)
+        discard(texts, told)
     shared.destroy()
     left = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = left.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
