@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from ._store import BATCH_BYTES, discard, map_batches, materialize
 from ._text import Words, mix, slabs
 
-#: Largest filter that is broadcast (bits).
-FILTER_BITS = 1 << 29
+#: Largest filter that is broadcast (bits): 8 MiB, below Spark's own bound for tables that joins broadcast.
+FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
 #: Segments of a group of a larger filter, and the bytes of texts whose probes a group should be asked at once.
 GROUP, ASKED_BYTES = 16, 32 << 20
@@ -112,13 +112,24 @@ def _word_entry(key: np.ndarray) -> np.ndarray:
     return mix(key ^ _STEP)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, first bytes first: the leading bytes are zeros, which a shuffle compresses away."""
+    return np.diff(keys, prepend=keys.dtype.type(0)).view(np.uint8).reshape(-1, keys.dtype.itemsize).T.tobytes()
+
+
+def _of_planes(blob: pa.Scalar, kind: type) -> np.ndarray:
+    """The keys of _planes."""
+    planes = np.frombuffer(blob.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def _packed(order: int, keys: np.ndarray, counts: np.ndarray, sub: int) -> list[tuple]:
     """Rows (order, bucket, part, keys, counts) of sorted keys, cut by their leading bits."""
     shift = np.uint64(64 - (_BUCKETS * sub - 1).bit_length())
     ids = (keys >> shift).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(keys))
-    return [(order, int(ids[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cut, ends)]
+    return [(order, int(ids[a]), _planes(keys[a:b]), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cut, ends)]
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -164,13 +175,13 @@ def count_ngrams(docs: DataFrame, text: str) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         order, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("keys")])
+        keys = np.concatenate([_of_planes(b, np.uint64) for b in table.column("keys")])
         counts = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table.column("counts")]).astype(np.int64)
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         total = np.add.reduceat(counts, first)
-        return pa.table({"order": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "keys": [keys[first].tobytes()], "counts": [total.tobytes()]})
+        return pa.table({"order": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "keys": [_planes(keys[first])], "counts": [total.tobytes()]})
 
     sent = map_batches(docs.select(F.col(text).cast("string").alias("text")), emit, _PACKED)
     return sent.groupBy("order", "bucket").applyInArrow(add, _PACKED)
@@ -178,7 +189,7 @@ def count_ngrams(docs: DataFrame, text: str) -> DataFrame:
 
 def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for i in range(batch.num_rows):
-        keys = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+        keys = _of_planes(batch.column(2)[i], np.uint64)
         yield batch.column(0)[i].as_py(), keys, np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
 
 
@@ -196,6 +207,11 @@ def rests(key: np.ndarray) -> np.ndarray:
     return key.astype(np.uint32)
 
 
+def by_group_and_rest(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order of keys by group and then by rest."""
+    return np.argsort((group.astype(np.uint64) << np.uint64(32)) | rests(key), kind="stable")
+
+
 def spread(rest: np.ndarray) -> np.ndarray:
     """The keys by which a group's filter knows the rests."""
     return mix(rest.astype(np.uint64) * _ODD)
@@ -260,20 +276,20 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
                 if order == 1:
                     keys = _word_entry(keys)
                 group = segment_of(keys, n_segments if small else n_segments // GROUP)
-                by = np.argsort(group, kind="stable")
-                keys, level = keys[by], level[by]
+                by = np.argsort(keys) if small else by_group_and_rest(group, keys)
+                keys, level = keys[by] if small else rests(keys[by]), level[by]
                 ids, cut = np.unique(group[by], return_index=True)
                 ends = np.append(cut[1:], len(keys))
-                yield _rows([(order, g, keys[a:b].tobytes(), level[a:b].tobytes()) for g, a, b in zip(ids.tolist(), cut, ends)])
+                yield _rows([(order, g, _planes(keys[a:b]), level[a:b].tobytes()) for g, a, b in zip(ids.tolist(), cut, ends)])
 
     def fill(table: pa.Table) -> pa.Table:
         bits = np.zeros(together * SEGMENT_BITS, bool)
-        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
+        keys = np.concatenate([_of_planes(k, np.uint64 if small else np.uint32) for k in table.column("keys")])
         level = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("counts")])
         if small:
             base = np.zeros(len(keys), np.int64)
         else:
-            keys = spread(rests(keys))
+            keys = spread(keys)
             base = segment_of(keys, GROUP) * SEGMENT_BITS
         for j in range(1, int(level.max(initial=0)) + 1):
             keys, base, level = keys[level >= j], base[level >= j], level[level >= j]
@@ -346,7 +362,7 @@ class Probes:
     def by_group(self, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
         """(group of every entry, order of the entries by group)."""
         group = segment_of(self.entries, n_segments // GROUP)
-        return group, np.argsort(group, kind="stable")
+        return group, by_group_and_rest(group, self.entries)
 
     def per_token(self, level: np.ndarray) -> np.ndarray:
         """Levels of the entries as two columns, of every token and of its pair with the one before."""
@@ -388,13 +404,13 @@ def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> Da
                 group, by = probes.by_group(n_segments)
                 keys = rests(probes.entries[by])
                 ids, cut = np.unique(group[by], return_index=True)
-                blobs = [keys[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(keys)))]
+                blobs = [_planes(keys[a:b]) for a, b in zip(cut, np.append(cut[1:], len(keys)))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), slab)), pa.array(ids), pa.array(blobs, pa.binary())], ["slab", "bucket", "keys"])
 
     def tell(asked: pa.Table, group: pa.Table) -> pa.Table:
         if asked.num_rows == 0:
             return pa.table({"slab": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
-        keys = [np.frombuffer(k.as_buffer(), np.uint32) for k in asked.column("keys")]
+        keys = [_of_planes(k, np.uint32) for k in asked.column("keys")]
         ends = np.cumsum([0, *map(len, keys)])
         level = np.zeros(ends[-1], np.uint8)
         if group.num_rows:
@@ -468,7 +484,7 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
     picked = docs.select(*named, F.col(text).cast("string").alias("__text"))
     kept = picked.schema.fields[:-1]
     extra = [("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_score", T.DoubleType()), ("score", T.DoubleType())]
-    extra += [("row", T.LongType()), ("rare", T.ArrayType(T.LongType()))]
+    extra += [("row", T.LongType()), ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType()))]
     schema = T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)], *[T.StructField(n, t) for n, t in extra]])
     denominator, n_segments = model.n_tokens + model.n_types + 1, model.n_segments
     # FILTER_BITS / 8 + 16 * HEAD_WORDS bytes at most
@@ -483,12 +499,18 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
         value[in_head] = np.log10((known.head_counts[place[in_head]] + 1) / denominator)
         base = value[probes.which[head]]
         tail, tail_doc = key[~head], doc[~head]
-        bounds = np.searchsorted(tail_doc, np.arange(n + 1)).astype(np.int32)
+        by = np.lexsort((tail, tail_doc))
+        tail, tail_doc = tail[by], tail_doc[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (tail[1:] != tail[:-1]) | (tail_doc[1:] != tail_doc[:-1])
+        times = np.diff(np.append(np.flatnonzero(new), len(by)))
+        bounds = pa.array(np.searchsorted(tail_doc[new], np.arange(n + 1)).astype(np.int32))
+        rare_words = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (tail[new].view(np.int64), times)]
         arrays = part.columns[: len(kept)]
         arrays += [pa.array(probes.texts.counts + 1), pa.array(np.bincount(doc[head], minlength=n))]
         arrays += [pa.array(np.bincount(doc[head], weights=base, minlength=n).astype(float))]
         arrays += [pa.array(np.bincount(doc, weights=known.log_prob(probes.per_token(level)), minlength=n).astype(float))]
-        return [*arrays, pa.array(np.arange(row, row + n)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tail.view(np.int64)))]
+        return [*arrays, pa.array(np.arange(row, row + n)), *rare_words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -515,7 +537,7 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
         first = materialize(texts.groupBy("slab").cogroup(told.groupBy("slab")).applyInArrow(finish, schema), "scores")
         discard(texts, told)
     shared.destroy()
-    left = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    left = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = left.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per_row = found.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
