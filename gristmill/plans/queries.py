@@ -166,7 +166,7 @@ def align_first_match(spark, d):
 
 
 @query("""
-WITH q AS (SELECT d.doc_id, d.lang, left(b.text, 60) AS quote, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+WITH q AS (SELECT d.doc_id, d.lang, b.text AS quote, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 f AS (SELECT CASE WHEN lang = 'en' THEN trim(quote) ELSE '' END AS quote, text FROM q)
 SELECT count(*) FILTER (quote = '') AS violations, count(*) FILTER (quote <> '' AND text <> '') AS checked,
        count(*) FILTER (quote <> '' AND contains(lower(text), lower(quote))) AS matched,
