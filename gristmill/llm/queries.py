@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprint, jaccard, language, license_scan, mixing, ngram_model, packing, quality, substring, toxicity
+from . import fingerprint, jaccard, language, license_scan, mixing, ngram_model, packing, periodic, quality, substring, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -17,10 +17,14 @@ QUERIES = {
     "op8_license": license_scan.op8_license,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_language": language.op10_language,
+    "op11_periodic": periodic.op11_periodic,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op9_jaccard": jaccard.OP9_SQL,
     "op5_quality": quality.OP5_SQL,
+    "op11_periodic": periodic.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
