@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprint, jaccard, language, license_scan, mixing, ngram_model, packing, periodic, quality, substring, toxicity, vector_codes
+from . import fingerprint, jaccard, language, license_scan, mixing, ngram_model, packing, periodic, quality, resharding, substring, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op11_periodic": periodic.op11_periodic,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_resharding": resharding.op13_resharding,
     "pipeline": corpus_pipeline.run,
 }
 
