@@ -91,14 +91,15 @@ class Engine:
         return second
 
     def records(self, raw: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(samples, fields) from stored answers: batches merged, study values handed down, age bounds filled."""
+        """(samples, fields) from stored answers: batches merged, study values handed down, age bounds filled.  Values are variants."""
         seen = res.parsed(raw)
-        fields = res.first_fields(res.field_rows(seen))
+        first = res.first_fields(res.field_rows(seen))
+        fields = records.bounded_study_ages(first)
         rows = res.sample_rows(seen)
-        first = rows.groupBy("study").agg(F.min("batch").alias("batch"))
-        kept = rows.join(first, ["study", "batch"]) if ids is None else rows
+        earliest = rows.groupBy("study").agg(F.min("batch").alias("batch"))
+        kept = rows.join(earliest, ["study", "batch"]) if ids is None else rows
         groups = seen.where("result IS NOT NULL").groupBy(F.col("paper_id").alias("study")).agg(F.min_by("result.subgroups", "batch_idx").alias("subgroups"))
-        filled = records.fan_out(kept.select("study", "row_idx", "values"), fields.select("study", "field", "value", "by_subgroup"), groups)
+        filled = records.fan_out(kept.select("study", "row_idx", "values"), first.select("study", "field", "value", "by_subgroup"), groups)
         return records.bounded_ages(filled.select("study", "row_idx", "values")), fields
 
     def evaluate(self, samples: DataFrame, gold: DataFrame, field_map: dict[str, str], fields: DataFrame | None = None, **options) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS
 _SPECIAL = r"^[+-]?(?:nan|inf|infinity)$"
 
 
+def let(v: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(v) with v bound once, as the only item of an array: rules name it often, and it may be long."""
+    return F.get(F.transform(F.array(v), rule), F.lit(0))
+
+
 def to_number(c: Column) -> Column:
     """The text as a double, null if it is none.
 
@@ -48,11 +53,6 @@ def plain_text(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)), F.lit("none"))
 
 
-def list_text(items: Column) -> Column:
-    """A list as its sorted, lower-cased items."""
-    return F.array_join(F.array_sort(F.transform(items, plain_text)), ", ")
-
-
 def values_match(
     extracted: Column,
     gold: Column,
@@ -60,23 +60,33 @@ def values_match(
     extracted_unit: Column | None = None,
     gold_unit: Column | None = None,
     units: Mapping[str, float] = UNITS_A_YEAR,
+    typed: bool = False,
 ) -> Column:
-    """Two numbers agree within the tolerance of the gold one (in years); all else must be equal as text."""
-    e, g = to_number(extracted), to_number(gold)
+    """Two numbers agree within the tolerance of the gold one (in years); all else must be equal as text.
+
+    Both are text, or with `typed` both variants: lists then agree if their
+    sorted items do, in any order and case.
+    """
+    from . import typed as variants
+
+    e, g = (variants.number(x) if typed else to_number(x) for x in (extracted, gold))
     both = e.isNotNull() & g.isNotNull()
     e, g = to_years(e, extracted_unit, units), to_years(g, gold_unit, units)
     close = F.when(g == 0, F.abs(e) < 1e-9).otherwise(~F.isnan(e) & ~F.isnan(g) & (F.abs(e - g) / F.greatest(F.abs(g), F.lit(1e-9)) <= tolerance))
-    return F.when(both, close).otherwise(plain_text(extracted) == plain_text(gold))
+    spelled = variants.compared if typed else plain_text
+    return F.when(both, close).otherwise(spelled(extracted) == spelled(gold))
+
 
+def decision(extracted: Column, gold: Column, typed: bool = False, **options) -> Column:
+    """TN, FN, FP, TP_correct or TP_wrong; both are text, or with `typed` variants."""
+    from . import typed as variants
 
-def decision(extracted: Column, gold: Column, **options) -> Column:
-    """TN, FN, FP, TP_correct or TP_wrong."""
-    e, g = not_scored(extracted), not_scored(gold)
+    e, g = (variants.not_scored(x) if typed else not_scored(x) for x in (extracted, gold))
     return (
         F.when(e & g, "TN")
         .when(e, "FN")
         .when(g, "FP")
-        .when(values_match(extracted, gold, **options), "TP_correct")
+        .when(values_match(extracted, gold, typed=typed, **options), "TP_correct")
         .otherwise("TP_wrong")
     )
 

@@ -1,7 +1,8 @@
 """Extracted records against gold records: cells, metrics, strata, faithfulness.
 
-Records are rows (study, row_idx, values map<string,string>); study fields are
-rows (study, field, value, extraction_type, confidence, evidence_quote).
+Records are rows (study, row_idx, values), where values maps names to text or
+to variants; study fields are rows (study, field, value, extraction_type,
+confidence, evidence_quote), value being text or a variant.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.missing import no_unit, not_scored, strip
 from ..functions.strings import accession_key
 from ..functions.values import TOLERANCE, UNITS_A_YEAR, decision
@@ -24,9 +26,13 @@ def align(extracted: DataFrame, gold: DataFrame, key: str) -> tuple[DataFrame, D
 
     Numbers come from the gold row_idx, so they need not be consecutive.
     """
-    keyed = extracted.withColumn("__key", accession_key(F.element_at("values", key))).where("__key IS NOT NULL")
+    def key_of(side: DataFrame) -> Column:
+        value = F.try_element_at("values", F.lit(key))
+        return accession_key(F.when(~typed.is_null(value), typed.text(value)) if typed.holds_variants(side, "values") else value)
+
+    keyed = extracted.withColumn("__key", key_of(extracted)).where("__key IS NOT NULL")
     first = keyed.groupBy("study", "__key").agg(F.min_by("values", "row_idx").alias("values"))
-    wanted = gold.withColumn("__key", accession_key(F.element_at("values", key))).where("__key IS NOT NULL")
+    wanted = gold.withColumn("__key", key_of(gold)).where("__key IS NOT NULL")
     both = wanted.withColumnRenamed("values", "__gold").join(first, ["study", "__key"])
     return both.select("study", "row_idx", "values"), both.select("study", "row_idx", F.col("__gold").alias("values"))
 
@@ -46,8 +52,17 @@ def cells(
 
     Records pair by (study, row_idx).  A sample's own key wins over the study's
     value even if it is blank.  With missing_gold_as_fn every gold record
-    counts, and one without a sample reports nothing at all.
+    counts, and one without a sample reports nothing at all.  Variants are
+    compared by their types (a list by its items in any order) and given as text.
     """
+    sides = [(extracted, "values"), (gold, "values"), *([(study_fields, "value")] if study_fields is not None else [])]
+    variants = any(typed.holds_variants(*s) for s in sides)
+    if variants:
+        extracted, gold = (x if typed.holds_variants(x, "values") else x.withColumn("values", typed.of_map(F.col("values"))) for x in (extracted, gold))
+        study_fields = study_fields.withColumn("value", F.col("value").cast("variant")) if study_fields is not None else None
+    kind = "variant" if variants else "string"
+    plain = (lambda v: typed.string(v)) if variants else (lambda v: v)
+    shown = (lambda v: F.when(~typed.is_null(v), typed.text(v))) if variants else (lambda v: v)
     fields = {e: g for e, g in field_map.items() if e not in skip}
     e, g = extracted.select("study", "row_idx", F.col("values").alias("ev")), gold.select("study", "row_idx", F.col("values").alias("gv"))
     paired = g.join(e.withColumn("there", F.lit(True)), ["study", "row_idx"], "left" if missing_gold_as_fn else "inner")
@@ -55,30 +70,30 @@ def cells(
 
     def entry(name: str, of_gold: str) -> Column:
         unit = unit_fields.get(name)
-        u = F.try_element_at("gv", F.lit(unit)) if unit else F.lit(None).cast("string")
+        u = plain(F.try_element_at("gv", F.lit(unit))) if unit else F.lit(None).cast("string")
         return F.struct(
             F.lit(name).alias("field"),
             F.try_element_at("ev", F.lit(name)).alias("own"),
             F.coalesce(F.map_contains_key("ev", name), F.lit(False)).alias("has"),
             F.try_element_at("gv", F.lit(of_gold)).alias("gold"),
-            (F.try_element_at("ev", F.lit(unit)) if unit else F.lit(None).cast("string")).alias("ext_unit"),
+            (plain(F.try_element_at("ev", F.lit(unit))) if unit else F.lit(None).cast("string")).alias("ext_unit"),
             F.when(~no_unit(u), u).alias("gold_unit"),
         )
 
     entries = F.array(*[entry(n, o) for n, o in fields.items()])
-    ids = [F.try_element_at(m, F.lit("sample_id")).alias(n) for m, n in (("ev", "ext_sample_id"), ("gv", "gold_sample_id"))]
+    ids = [shown(F.try_element_at(m, F.lit("sample_id"))).alias(n) for m, n in (("ev", "ext_sample_id"), ("gv", "gold_sample_id"))]
     long = paired.select("study", F.col("row_idx").alias("sample_idx"), *ids, "there", F.inline(entries))
     if study_fields is not None:
         known = study_fields.select("study", "field", F.col("value").alias("of_study"), "extraction_type", "confidence")
         long = long.join(known, ["study", "field"], "left")
     else:
         empty = F.lit(None).cast("string")
-        long = long.withColumns({"of_study": empty, "extraction_type": empty, "confidence": empty})
+        long = long.withColumns({"of_study": F.lit(None).cast(kind), "extraction_type": empty, "confidence": empty})
     value = F.when(F.col("has"), F.col("own")).when(F.col("there"), F.col("of_study"))
     long = long.withColumn("extracted", value)
-    verdict = decision(F.col("extracted"), F.col("gold"), tolerance=tolerance, extracted_unit=F.col("ext_unit"), gold_unit=F.col("gold_unit"), units=units)
+    verdict = decision(F.col("extracted"), F.col("gold"), tolerance=tolerance, extracted_unit=F.col("ext_unit"), gold_unit=F.col("gold_unit"), units=units, typed=variants)
     return long.select(
-        "study", "sample_idx", "ext_sample_id", "gold_sample_id", "field", "extracted", "gold", verdict.alias("decision"), "extraction_type", "confidence"
+        "study", "sample_idx", "ext_sample_id", "gold_sample_id", "field", shown(F.col("extracted")).alias("extracted"), shown(F.col("gold")).alias("gold"), verdict.alias("decision"), "extraction_type", "confidence"
     )
 
 
@@ -131,16 +146,20 @@ def strata(cell: DataFrame) -> DataFrame:
     return ratios(long.groupBy("stratum", "label").agg(*counted()))
 
 
+def _missing_in(study_fields: DataFrame):
+    return typed.not_scored if typed.holds_variants(study_fields, "value") else not_scored
+
+
 def faithfulness(study_fields: DataFrame, papers: DataFrame) -> DataFrame:
     """One row: violations, checked, matched, rate.
 
     A reported value without a quote is a violation; a quote is checked if its
     paper (study, text) has text, and matches if the text has it, case aside.
     """
-    quote = strip(F.coalesce("evidence_quote", F.lit("")))
+    quote, missing = strip(F.coalesce("evidence_quote", F.lit(""))), _missing_in(study_fields)
     # a study's quotes meet its text once; they are as many as it has fields
     of_study = study_fields.groupBy("study").agg(
-        F.count_if(~not_scored(F.col("value")) & (quote == "")).alias("bare"), F.collect_list(F.when(quote != "", F.lower(quote))).alias("quotes")
+        F.count_if(~missing(F.col("value")) & (quote == "")).alias("bare"), F.collect_list(F.when(quote != "", F.lower(quote))).alias("quotes")
     )
     joined = of_study.join(papers.select("study", F.lower("text").alias("text")), "study", "left")
     has_text = F.coalesce(F.col("text") != "", F.lit(False))
@@ -169,7 +188,7 @@ def violations(study_fields: DataFrame, papers: DataFrame, most: int | None = No
     quotes = study_fields.select("study", "field", "value", strip(F.coalesce("evidence_quote", F.lit(""))).alias("quote"))
     joined = quotes.join(papers.select("study", "text"), "study", "left")
     lost = (F.col("quote") != "") & (F.col("text") != "") & ~F.contains(F.lower("text"), F.lower("quote"))
-    problem = F.when(~not_scored(F.col("value")) & (F.col("quote") == ""), "no quote").when(lost, "quote not in the text")
+    problem = F.when(~_missing_in(study_fields)(F.col("value")) & (F.col("quote") == ""), "no quote").when(lost, "quote not in the text")
     out = joined.select("study", "field", problem.alias("problem")).where("problem IS NOT NULL")
     return out if most is None else out.orderBy("study", "field").limit(most)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..functions import markup, values
+from ..functions import markup, typed, values
 from ..operators import evaluate, profile, records, tables
 from ..sources import grid as grids
 from ..sources import schema, web
@@ -147,12 +147,12 @@ def _answers(spark, d) -> DataFrame:
 
 
 @query("""
-SELECT r_name AS study, n_name AS sample_id, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE 'zone ' || r_regionkey END AS habitat, '["a","b"]' AS climate,
+SELECT r_name AS study, n_name AS sample_id, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE 'zone ' || r_regionkey END AS habitat, 'a; b' AS climate,
        CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey + 20) || '.5' ELSE '18' END AS age_min, CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey + 20) || '.5' ELSE '65' END AS age_max
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def answers_to_records(spark, d):
     samples, _ = Engine(spark).records(_answers(spark, d))
-    return samples.select("study", *[F.try_element_at("values", F.lit(c)).alias(c) for c in ("sample_id", "habitat", "climate", "age_min", "age_max")])
+    return samples.select("study", *[typed.string(F.try_element_at("values", F.lit(c))).alias(c) for c in ("sample_id", "habitat", "climate", "age_min", "age_max")])
 
 
 def _study_cells(spark, d, missing_gold: bool) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import typed
+
 PROVENANCE = (("evidence_quote", "evidence"), ("section", "section"), ("confidence", "confidence"))
 
 
-def cell_text(c: Column, is_list: bool = False, depth: int = 1) -> Column:
-    """A value as a CSV cell: null is '', a list is joined by `; `, and so are lists in it down to `depth`."""
-    if not is_list:
-        return F.coalesce(c.cast("string"), F.lit(""))
-    items = F.transform(c, lambda x: cell_text(x, True, depth - 1)) if depth > 1 else c
-    return F.coalesce(F.array_join(items, "; ", ""), F.lit(""))
+def cell_text(c: Column, variant: bool = False) -> Column:
+    """A value as a CSV cell: null is '', and the list of a variant is joined by `; `."""
+    return typed.cell(c) if variant else F.coalesce(c.cast("string"), F.lit(""))
 
 
 def _keys(df: DataFrame, bag: str) -> list[str]:
@@ -24,15 +23,16 @@ def _keys(df: DataFrame, bag: str) -> list[str]:
 def sample_rows(samples: DataFrame, bag: str = "values", columns: list[str] | None = None) -> DataFrame:
     """A row a sample: paper_id, then the sorted union of keys; what a sample lacks is ''."""
     names = [c for c in (columns if columns is not None else _keys(samples, bag)) if c != "paper_id"]
-    return samples.select("paper_id", *[cell_text(F.try_element_at(bag, F.lit(c))).alias(c) for c in names])
+    variant = typed.holds_variants(samples, bag)
+    return samples.select("paper_id", *[cell_text(F.try_element_at(bag, F.lit(c)), variant).alias(c) for c in names])
 
 
 def study_rows(fields: DataFrame, names: list[str], provenance: bool = False) -> DataFrame:
     """A row a paper with the fields' values; with provenance also evidence, section and confidence of each."""
-    aggregates = []
+    aggregates, value = [], cell_text(F.col("value"), typed.holds_variants(fields, "value"))
     for name in names:
         here = F.col("field") == name
-        aggregates.append(cell_text(F.max(F.when(here, F.col("value")))).alias(name))
+        aggregates.append(cell_text(F.max(F.when(here, value))).alias(name))
         if provenance:
             aggregates += [cell_text(F.max(F.when(here, F.col(source)))).alias(f"{name}__{suffix}") for source, suffix in PROVENANCE]
     return fields.groupBy("paper_id").agg(*aggregates)
@@ -42,11 +42,11 @@ def subgroup_rows(papers: DataFrame, fields: DataFrame, names: list[str], proven
     """A row a subgroup: its own value of a field where there is one, else the study's.  A paper without subgroups has no row."""
     packed = fields.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(*[c for c in fields.columns if c not in ("paper_id", "field")])))).alias("f"))
     rows = papers.select("paper_id", F.explode("subgroups").alias("subgroup")).join(packed, "paper_id", "left")
-    out = []
+    out, variant = [], typed.holds_variants(fields, "value")
     for name in names:
         item = F.try_element_at("f", F.lit(name))
         has = F.coalesce(F.map_contains_key(item["by_subgroup"], F.col("subgroup")), F.lit(False))
-        out.append(cell_text(F.when(has, F.try_element_at(item["by_subgroup"], F.col("subgroup"))).otherwise(item["value"])).alias(name))
+        out.append(cell_text(F.when(has, F.try_element_at(item["by_subgroup"], F.col("subgroup"))).otherwise(item["value"]), variant).alias(name))
         if provenance:
             out += [cell_text(item[source]).alias(f"{name}__{suffix}") for source, suffix in PROVENANCE]
     return rows.select("paper_id", "subgroup", *out)

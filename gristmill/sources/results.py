@@ -6,10 +6,13 @@ batch_idx, raw), from files or from a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import typed
+from ..functions.ages import age_bounds
 from ..functions.jsontext import recovered_json
+from ..operators.records import AGE_FIELDS, AGE_NOTE, age_texts
 
 #: Closed sets of the result format.
 GRANULARITIES = ("study_level", "subgroup_level", "sample_level")
@@ -45,17 +48,11 @@ def parsed(raw: DataFrame) -> DataFrame:
     return out.select("paper_id", "batch_idx", F.when(F.col("error").isNull(), F.col("result")).alias("result"), "error")
 
 
-def text_of(value: F.Column) -> F.Column:
-    """A JSON value as text: strings bare, lists and objects as JSON."""
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
-
-
 def field_rows(results: DataFrame) -> DataFrame:
-    """(study, batch, field, value, by_subgroup, ...) of every field of every result."""
+    """(study, batch, field, value, by_subgroup, ...) of every field of every result; values are variants."""
     long = results.where("result IS NOT NULL").select(F.col("paper_id").alias("study"), F.col("batch_idx").alias("batch"), F.explode("result.fields").alias("field", "f"))
     return long.select(
-        "study", "batch", "field", text_of(F.col("f.value")).alias("value"), F.transform_values("f.by_subgroup", lambda k, v: text_of(v)).alias("by_subgroup"),
-        "f.extraction_type", "f.confidence", F.col("f.evidence_quote").alias("evidence_quote"), F.col("f.section").alias("section"), F.col("f.unit").alias("unit"),
+        "study", "batch", "field", "f.value", "f.by_subgroup", "f.extraction_type", "f.confidence", "f.evidence_quote", "f.section", "f.unit", "f.notes",
     )
 
 
@@ -66,16 +63,73 @@ def first_fields(rows: DataFrame) -> DataFrame:
 
 
 def sample_rows(results: DataFrame) -> DataFrame:
-    """(study, batch, row_idx, values) of every sample."""
+    """(study, batch, row_idx, values) of every sample; values are variants."""
     long = results.where("result IS NOT NULL").select(F.col("paper_id").alias("study"), F.col("batch_idx").alias("batch"), F.posexplode("result.samples").alias("row_idx", "s"))
-    return long.select("study", "batch", F.col("row_idx").cast("bigint").alias("row_idx"), F.transform_values("s", lambda k, v: text_of(v)).alias("values"))
+    return long.select("study", "batch", F.col("row_idx").cast("bigint").alias("row_idx"), F.col("s").alias("values"))
 
 
 def snapshot(results: DataFrame) -> DataFrame:
-    """Long form of both levels: study, level, sample_index (from 1, null for the study), field, value, evidence, section, confidence."""
-    none = F.lit(None).cast("string")
-    study = field_rows(results).select(
-        "study", F.lit("study").alias("level"), F.lit(None).cast("bigint").alias("sample_index"), "field", "value", F.col("evidence_quote").alias("evidence"), "section", "confidence"
-    )
-    samples = sample_rows(results).select("study", F.lit("sample").alias("level"), (F.col("row_idx") + 1).alias("sample_index"), F.explode("values").alias("field", "value"))
-    return study.unionByName(samples.withColumns({"evidence": none, "section": none, "confidence": none}))
+    """Long form of both levels: study, level, sample_index (from 1, null for the study), field, value, evidence, section, confidence.
+
+    A list gives a row for each of its items, null gives none.
+    """
+    fields = field_rows(results)
+    found = F.transform(typed.snapshot_items(F.col("value")), lambda x: F.struct(x["value"].alias("value"), F.col("evidence_quote").alias("evidence"), "section", "confidence"))
+    study = fields.select("study", F.lit("study").alias("level"), F.lit(None).cast("bigint").alias("sample_index"), "field", F.inline(found))
+    samples = sample_rows(results).select("study", F.lit("sample").alias("level"), (F.col("row_idx") + 1).alias("sample_index"), F.explode("values").alias("field", "v"))
+    return study.unionByName(samples.select("study", "level", "sample_index", "field", F.inline(typed.snapshot_items(F.col("v")))))
+
+
+def _bounds(bag: Column) -> Column:
+    """The age bounds rule on a map of variants: struct (age_min, age_max, n_written), bounds as variants, null where they stay."""
+    texts = F.struct(*[x.alias(n) for n, x in age_texts({n: F.try_element_at(bag, F.lit(n)) for n in AGE_FIELDS}).items()])
+
+    def changes(old: Column, new: Column) -> Column:
+        changed = [F.when(~new[n].eqNullSafe(old[n]), new[n].cast("variant")).alias(n) for n in ("age_min", "age_max")]
+        return F.struct(*changed, new["n_written"].alias("n_written"))
+
+    return typed.let(texts, lambda old: typed.let(age_bounds(*[old[n] for n in AGE_FIELDS]), lambda new: changes(old, new)))
+
+
+def _with(bag: Column, key: str, value: Column) -> Column:
+    """bag with an entry set in its place, or added; unchanged where value is null."""
+    given = F.create_map(F.lit(key), value)
+    return F.when(value.isNull(), bag).otherwise(F.map_zip_with(bag, given, lambda k, old, new: F.coalesce(new, old)))
+
+
+def age_retrofit(raw: DataFrame) -> DataFrame:
+    """Stored answers with the age bounds rule applied after the fact: (paper_id, batch_idx, raw, n_written).
+
+    raw is the answer's JSON with the bounds of its fields and samples in
+    place; every other key stays, known to the result format or not.  A study's
+    bound is set only where the answer has such a field, which is then
+    `derived` and says so in its notes.  An answer that is not a JSON object
+    comes back as it was, with null n_written.
+    """
+    top = F.from_json(recovered_json(F.col("raw")), "map<string,variant>")
+    read = raw.withColumn("top", top)
+    fields = F.try_variant_get(F.try_element_at("top", F.lit("fields")), "$", "map<string,map<string,variant>>")
+    samples = F.try_variant_get(F.try_element_at("top", F.lit("samples")), "$", "array<map<string,variant>>")
+    read = read.withColumns({"fields": fields, "samples": samples})
+    read = read.withColumn("new", _bounds(F.transform_values("fields", lambda k, f: f["value"])))
+
+    def of_study(k: Column, f: Column) -> Column:
+        value = F.when(k == "age_min", F.col("new.age_min")).when(k == "age_max", F.col("new.age_max"))
+        notes = typed.string(f["notes"])
+        said = F.when(notes != "", F.concat(notes, F.lit(f" {AGE_NOTE}"))).otherwise(AGE_NOTE).cast("variant")
+        changed = _with(_with(_with(f, "value", value), "extraction_type", F.lit("derived").cast("variant")), "notes", said)
+        return F.when(value.isNull(), f).otherwise(changed)
+
+    def of_sample(s: Column) -> Column:
+        new = _bounds(s)
+        return F.struct(_with(_with(s, "age_min", new["age_min"]), "age_max", new["age_max"]).alias("s"), new["n_written"].alias("n"))
+
+    read = read.withColumns({"fields": F.transform_values("fields", of_study), "samples": F.transform("samples", of_sample)})
+    there = F.size(F.filter(F.map_keys("fields"), lambda k: ((k == "age_min") & F.col("new.age_min").isNotNull()) | ((k == "age_max") & F.col("new.age_max").isNotNull())))
+    n = F.greatest(F.coalesce(there, F.lit(0)), F.lit(0)) + F.aggregate(F.coalesce(F.transform("samples", lambda x: x["n"]), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    parts = {"fields": F.to_variant_object("fields"), "samples": F.to_variant_object(F.transform("samples", lambda x: x["s"]))}
+    whole = F.col("top")
+    for key, value in parts.items():
+        whole = F.when(F.col(key).isNull(), whole).otherwise(F.map_zip_with(whole, F.create_map(F.lit(key), value), lambda k, old, new: F.coalesce(new, old)))
+    done = read.withColumn("whole", whole)
+    return done.select("paper_id", "batch_idx", F.coalesce(F.to_json("whole"), "raw").alias("raw"), F.when(F.col("top").isNotNull(), n).alias("n_written"))

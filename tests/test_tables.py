@@ -118,9 +118,12 @@ def test_stored_answers_become_records(spark):
     errors = {r.paper_id: r.error for r in results.parsed(raw).collect()}
     assert errors["p"] is None and errors["q"] and errors["r"]
     samples, fields = Engine(spark).records(raw)
-    got = {r.row_idx: r["values"] for r in samples.collect()}
+    got = {r.row_idx: {k: v.toPython() for k, v in r["values"].items()} for r in samples.collect()}
+    assert got[0]["ages"] == "1; 2" and got[1]["age"] == 7
     assert got[1]["sex"] == "female" and got[1]["age_min"] == "7" and got[0]["sex"] == "mixed" and {r.field for r in fields.collect()} == {"sex", "ages"}
     assert results.snapshot(results.parsed(raw)).where("level = 'sample'").count() == 5
+    ages = results.snapshot(results.parsed(raw)).where("study = 'p' AND field = 'ages'").collect()
+    assert sorted(r.value for r in ages) == ["1", "2"]
 
 
 def test_schemas():
@@ -196,4 +199,4 @@ def test_sinks(spark, tmp_path):
     assert sinks.sample_rows(s).columns == ["paper_id", "a", "z"]
     sinks.write_csv(s.select("paper_id").where("false"), str(tmp_path / "none"))
     assert sinks.sample_rows(s.where("false"), columns=["q"]).columns == ["paper_id", "q"]
-    assert spark.createDataFrame([(["a", None],)], "x array<string>").select(sinks.cell_text(F.col("x"), True)).first()[0] == "a; "
+    assert spark.sql("""SELECT parse_json('["a", null, ["b", 1]]') AS x""").select(sinks.cell_text(F.col("x"), True)).first()[0] == "a; ; b; 1"
