@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,90 @@ def subgroup_rows(papers: DataFrame, fields: DataFrame, names: list[str], proven
     return rows.select("paper_id", "subgroup", *out)
 
 
+# ------------------------------------------------------------- one file a name
+
+
+def csv_line(cells: list[Column], sep: str = ",") -> Column:
+    """Text cells as a line; those with a separator, a quote or a line end are quoted, null is ''."""
+
+    def quoted(c: Column) -> Column:
+        return F.when(c.rlike(f'[{sep}"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    line = F.concat_ws(sep, *[quoted(F.coalesce(c.cast("string"), F.lit(""))) for c in cells])
+    return F.when(line == "", '""').otherwise(line) if len(cells) == 1 else line
+
+
+def write_named(lines: DataFrame, folder: str, line_end: str = "\r\n") -> int:
+    """Writes lines (name, at, line) as one file for each name, in the order of `at`; returns the number of files.
+
+    A task streams a file's lines, sorted, to a staging folder.  Only when all
+    are there are they renamed, each to its exact name, replacing what has it;
+    a failed job leaves the folder as it was.  Equal input gives equal bytes if
+    `at` tells the lines of a name apart.
+    """
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staging = jvm.org.apache.hadoop.fs.Path(base, f"_staging-{uuid.uuid4().hex}")
+    keyed = lines.select(F.lower(F.hex(F.encode("name", "UTF-8"))).alias("key"), "at", "line")
+    try:
+        sorted_lines = keyed.repartition("key").sortWithinPartitions("key", "at").select("key", "line")
+        sorted_lines.write.partitionBy("key").option("lineSep", line_end).text(staging.toString())
+        made = [(bytes.fromhex(d.getPath().getName()[4:]).decode(), f.getPath()) for d in system.listStatus(staging) if d.isDirectory() for f in system.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+        wrong = [name for name, _ in made if not name or "/" in name] or [name for name, n in Counter(name for name, _ in made).items() if n > 1]
+        if wrong:
+            raise ValueError(f"no single file can have the name {wrong[0]!r}")
+        for name, part in made:
+            target = jvm.org.apache.hadoop.fs.Path(base, jvm.org.apache.hadoop.fs.Path(None, None, f"./{name}"))
+            system.delete(target, False)
+            if not system.rename(part, target):
+                raise OSError(f"{part} could not be renamed to {target}")
+    finally:
+        system.delete(staging, True)
+    return len(made)
+
+
+def _with_header(name: Column, header: Column, rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """Lines (name, at, line) of `rows` (paper_id, at, line) under a header for each of `papers`."""
+    heads = papers.select(name.alias("name"), F.lit(None).cast("long").alias("at"), header.alias("line"))
+    return heads.unionByName(rows.select(name.alias("name"), F.col("at").cast("long").alias("at"), "line"))
+
+
+def write_table_files(rows: DataFrame, folder: str, order: str, suffix: str = ".csv", sep: str = ",", papers: DataFrame | None = None) -> int:
+    """A file for each paper_id of `rows`, with all columns but `order`; of `papers` also those without a row, which get the header alone."""
+    columns = [c for c in rows.columns if c != order]
+    body = rows.select("paper_id", F.col(order).alias("at"), csv_line([F.col(c) for c in columns], sep).alias("line"))
+    listed = (rows if papers is None else papers).select("paper_id").distinct()
+    return write_named(_with_header(F.concat("paper_id", F.lit(suffix)), csv_line([F.lit(c) for c in columns], sep), body, listed), folder)
+
+
+def write_sample_files(samples: DataFrame, folder: str, bag: str = "values", order: str = "row_idx", suffix: str = ".csv") -> int:
+    """A CSV file for each paper of samples (paper_id, row_idx, values): paper_id, then the sorted keys that its samples have; what one lacks is ''."""
+    variant = typed.holds_variants(samples, bag)
+    keys = samples.select("paper_id", F.explode(F.map_keys(bag)).alias("k")).where("k <> 'paper_id'").distinct()
+    headers = samples.select("paper_id").distinct().join(keys.groupBy("paper_id").agg(F.array_sort(F.collect_list("k")).alias("keys")), "paper_id", "left")
+    headers = headers.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+
+    def line(cells: Column) -> Column:
+        quoted = F.transform(cells, lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
+        return F.array_join(quoted, ",")
+
+    texts = F.transform("keys", lambda k: F.coalesce(cell_text(F.try_element_at(bag, k), variant), F.lit("")))
+    body = samples.join(headers, "paper_id").select("paper_id", F.col(order).alias("at"), line(F.concat(F.array("paper_id"), texts)).alias("line"))
+    header = line(F.concat(F.array(F.lit("paper_id")), F.col("keys")))
+    return write_named(_with_header(F.concat("paper_id", F.lit(suffix)), header, body, headers), folder)
+
+
+def write_json_files(docs: DataFrame, folder: str, suffix: str = ".json") -> int:
+    """An indented JSON file for each row, named by its paper_id."""
+    text = F.to_json(F.struct("*"), {"pretty": "true"})
+    return write_named(docs.select(F.concat("paper_id", F.lit(suffix)).alias("name"), F.lit(0).alias("at"), text.alias("line")), folder, "\n")
+
+
+# ------------------------------------------------------------- folders of part files
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """With a header, also when there are no rows."""
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("emptyValue", "").csv(path)

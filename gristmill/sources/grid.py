@@ -5,11 +5,11 @@ grid: table_id, row_idx, cells array<string>.  Rows may be ragged; order is in r
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import strip
+from .quoted import read_quoted
 
 #: Extensions that are read, and those of images that are passed over.
 TABLES = {".csv": ",", ".tsv": "\t"}
@@ -29,11 +30,6 @@ GRID = T.StructType([T.StructField("table_id", T.StringType()), T.StructField("r
 PARTS = "name string, status string, reason string, text string, table_id string, row_idx long, cells array<string>"
 
 
-def separated(blob: bytes, delimiter: str) -> list[list[str]]:
-    """Rows of a quoted, delimited file; bad UTF-8 is replaced, ragged rows stay ragged."""
-    return list(csv.reader(io.StringIO(blob.decode("utf-8", "replace"), newline=""), delimiter=delimiter))
-
-
 def _column(ref: str) -> int:
     n = 0
     for ch in re.match("[A-Z]+", ref)[0]:
@@ -77,15 +73,13 @@ def workbook(blob: bytes) -> list[tuple[str, list[list[str]]]]:
 
 
 def _parts(name: str, blob: bytes) -> Iterator[tuple]:
-    """Rows of PARTS for one file: its tables, its text, or why it is passed over."""
-    suffix = f".{name.rsplit('.', 1)[-1].lower()}" if "." in name else ""
+    """Rows of PARTS for one file that is not delimited: its tables, its text, or why it is passed over."""
+    suffix = _suffix(name)
     try:
         if suffix in IMAGES:
             yield name, "skipped", f"image ({suffix})", None, None, None, None
             return
-        if suffix in TABLES:
-            sheets = [(name, separated(blob, TABLES[suffix]))]
-        elif suffix == ".xlsx":
+        if suffix == ".xlsx":
             found = workbook(blob)
             sheets = [(f"{name}::{s}" if len(found) > 1 else name, rows) for s, rows in found]
         elif suffix in TEXTS:
@@ -106,20 +100,48 @@ def _parts(name: str, blob: bytes) -> Iterator[tuple]:
             yield name, "table", None, None, table, i, row
 
 
-def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Rows of PARTS for all files of a folder: one that names each file's status, and one for each grid row."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+def _suffix(name: str) -> str:
+    return f".{name.rsplit('.', 1)[-1].lower()}" if "." in name else ""
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["name", "status", "reason", "text", "table_id", "row_idx", "cells"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
-        for batch in batches:
-            for file, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(_parts(file.rsplit("/", 1)[-1], blob.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def _exactly(path: str) -> str:
+    """A path of which no character is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-    return files.select("path", "content").mapInArrow(run, PARTS)
+
+def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """Rows of PARTS for all files of a folder: one that names each file's status, and one for each grid row.
+
+    Delimited files are read in byte ranges, so a large one is many tasks' work;
+    any other file is a row and a task.  The driver holds a name a file.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    paths = [r.path for r in listed.select("path").collect()]
+    out = []
+    rest = [p for p in paths if _suffix(p) not in TABLES]
+    if rest:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["name", "status", "reason", "text", "table_id", "row_idx", "cells"]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
+            for batch in batches:
+                for file, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    rows = list(_parts(file.rsplit("/", 1)[-1], blob.as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        blobs = spark.read.format("binaryFile").load([_exactly(p) for p in rest])
+        out.append(blobs.select("path", "content").mapInArrow(run, PARTS))
+    for suffix, delimiter in TABLES.items():
+        tables = [p for p in paths if _suffix(p) == suffix]
+        if tables:
+            names = [(p.rsplit("/", 1)[-1], "table", None, None, None, None, None) for p in tables]
+            rows = read_quoted(spark, [_exactly(p) for p in tables], delimiter)
+            name = F.url_decode(F.replace(F.regexp_extract("file", "([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+            none = F.lit(None).cast("string")
+            body = rows.select(name.alias("name"), F.lit("table").alias("status"), none.alias("reason"), none.alias("text"), name.alias("table_id"), "row_idx", "cells")
+            out += [spark.createDataFrame(names, PARTS), body]
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], PARTS)
 
 
 def grids(parts: DataFrame) -> DataFrame:
