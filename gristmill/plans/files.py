@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..shared import scratch
 from ..sources import grid as grids
 from .queries import _map, _t, query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, else under the context's checkpoint folder; it goes when the driver ends.
-
-    Where neither is set, a local master gets a temporary folder; a cluster has
-    no folder that all executors surely see, so there it is an error.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files/{uuid.uuid4().hex}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 @query("""
 WITH d AS (SELECT coalesce(lang, 'none') AS lang, doc_id, coalesce(text, '') AS text FROM documents)
 SELECT lang || '.csv' AS table_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS row_idx, doc_id, sha256(text) AS text_sha256, length(text) AS n_chars FROM d""")

@@ -27,6 +27,8 @@ IMAGES = (".eps", ".gif", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".svg")
 SUPPLEMENTS = (".xlsx", ".csv", ".tsv")
 
 GRID = T.StructType([T.StructField("table_id", T.StringType()), T.StructField("row_idx", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+#: Rows of a grid that one task numbers.
+SPAN_ROWS = 1 << 16
 PARTS = "name string, status string, reason string, text string, table_id string, row_idx long, cells array<string>"
 
 
@@ -166,12 +168,20 @@ def first_by_basename(files: DataFrame, name: str = "name", priority: str = "pri
 
 
 def cleaned(grid: DataFrame) -> DataFrame:
-    """The grid with stripped cells, without blank rows, padded to each table's width; row_idx counts from 0 again."""
-    bare = grid.withColumn("cells", F.transform("cells", lambda c: F.coalesce(strip(c), F.lit("")))).where(F.exists("cells", lambda c: c != ""))
-    widths = bare.groupBy("table_id").agg(F.max(F.size("cells")).alias("width"))
-    place = F.row_number().over(Window.partitionBy("table_id").orderBy("row_idx")) - 1
+    """The grid with stripped cells, without blank rows, padded to each table's width; row_idx counts from 0 again.
+
+    Rows are counted by spans of their old numbers first; sums over the spans
+    give each span's first number, so a large table is numbered by many tasks.
+    """
+    span = F.floor(F.col("row_idx") / SPAN_ROWS)
+    bare = grid.withColumn("cells", F.transform("cells", lambda c: F.coalesce(strip(c), F.lit("")))).where(F.exists("cells", lambda c: c != "")).withColumn("span", span)
+    spans = bare.groupBy("table_id", "span").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("w"))
+    table = Window.partitionBy("table_id")
+    before = table.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    first = spans.select("table_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.max("w").over(table).alias("width"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("table_id", "span").orderBy("row_idx")) - 1
     padded = F.concat("cells", F.array_repeat(F.lit(""), (F.col("width") - F.size("cells")).cast("int")))
-    return bare.join(widths, "table_id").select("table_id", place.cast("bigint").alias("row_idx"), padded.alias("cells"))
+    return bare.join(first, ["table_id", "span"]).select("table_id", place.cast("bigint").alias("row_idx"), padded.alias("cells"))
 
 
 def header_names(cells: Column) -> Column:
