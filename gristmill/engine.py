@@ -36,7 +36,7 @@ class Engine:
     each, then one lazy plan is made of those that are kept.
     """
 
-    def __init__(self, spark: SparkSession, gate: float = profile.GATE, planner: Planner | None = None, fuzzy: bool = False):
+    def __init__(self, spark: SparkSession, gate: float = profile.GATE, planner: Planner | None = None, fuzzy: bool = True):
         self.spark, self.gate, self.planner, self.fuzzy = spark, gate, planner, fuzzy
 
     def ingest(self, path: str | list[str], pattern: str | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accession patterns by kind, words of data availability, characters looked at on either side.
@@ -23,39 +27,42 @@ WINDOW = 250
 MOST_RESOLVED = 8
 
 
-def _hits(text: Column, kind: str, pattern: str, terms: tuple[str, ...], reach: int) -> Column:
-    """Array of (kind, value, context) of every match; places follow from the lengths of the pieces between matches."""
-    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    # start of match i: lengths of all gaps up to i and of all matches before it
-    lengths = F.zip_with(gaps, F.array_append(F.transform(values, F.length), F.lit(0)), lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["v"]).cast("int").alias("at"), F.array_append(a["out"], (a["at"] + x["g"]).cast("int")).alias("out")),
-        lambda a: a["out"],
-    )
-
-    def score(window: Column) -> Column:
-        return sum((F.contains(window, F.lit(t)).cast("int") for t in terms), F.lit(0))
-
-    def one(v: Column, start: Column) -> Column:
-        low = F.greatest(F.lit(0), start - reach)
-        window = F.lower(F.substring(text, low + 1, start + F.length(v) + reach - low))
-        # an array of one window, so that it is cut once for all terms
-        return F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.get(F.transform(F.array(window), score), F.lit(0)).alias("context"))
-
-    return F.filter(F.zip_with(values, starts, one), lambda x: x["value"].isNotNull())  # the starts have one place more, after the last gap
+def _found(text: str, patterns: list[tuple[str, re.Pattern]], terms: tuple[str, ...], reach: int) -> dict[str, list]:
+    """value -> [kind, strongest context, occurrences] of a text; a window is cut and read once for all terms."""
+    out: dict[str, list] = {}
+    for kind, pattern in patterns:
+        for hit in pattern.finditer(text):
+            start, end = hit.span()
+            window = text[max(0, start - reach) : end + reach].lower()
+            context = sum(t in window for t in terms)
+            entry = out.setdefault(hit.group(), [kind, context, 0])
+            entry[0], entry[1], entry[2] = min(entry[0], kind), max(entry[1], context), entry[2] + 1
+    return out
 
 
 def mine(docs: DataFrame, key: str, text: str, patterns: dict[str, str] = PATTERNS, terms: tuple[str, ...] = CONTEXT_TERMS, reach: int = WINDOW) -> DataFrame:
-    """(key, kind, value, context_score, n): every accession of a document, its strongest context and its occurrences."""
-    found = F.concat(*[_hits(F.col(text), k, p, terms, reach) for k, p in patterns.items()])
-    rows = docs.select(key, F.explode(found).alias("x"))
-    out = rows.groupBy(key, F.col("x.value").alias("value")).agg(
-        F.min("x.kind").alias("kind"), F.max("x.context").cast("bigint").alias("context_score"), F.count("*").alias("n")
-    )
-    return out.select(key, "kind", "value", "context_score", "n")
+    """(key, kind, value, context_score, n): every accession of a document, its strongest context and its occurrences.
+
+    One pass over each text; rows of an equal key are added up.  A null text has none.
+    """
+    compiled = [(kind, re.compile(p)) for kind, p in patterns.items()]
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "kind", "value", "context_score", "n"]
+        for batch in batches:
+            rows, at = [], []
+            for i, value in enumerate(batch.column(1)):
+                for found, (kind, context, n) in _found(value.as_py() or "", compiled, terms, reach).items():
+                    at.append(i)
+                    rows.append((kind, found, context, n))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {key_type}, kind string, value string, context_score long, n long")
+    out = rows.groupBy("key", "value").agg(F.min("kind").alias("kind"), F.max("context_score").alias("context_score"), F.sum("n").alias("n"))
+    return out.select(F.col("key").alias(key), "kind", "value", "context_score", "n")
 
 
 def own_projects(accessions: DataFrame, key: str, resolved: DataFrame | None = None, project: str = "bioproject", most: int = MOST_RESOLVED) -> DataFrame:

@@ -312,16 +312,37 @@ def first_files(spark, d):
 
 
 @query("""
-SELECT * FROM (VALUES ('age', 'number', '', true), ('sex', 'enum', 'f (x:1)|m', false), ('site', 'string', '', false), ('tags', 'list', '', false), ('smoker', 'boolean', '', false)) t(name, type, notes, required)""")
+WITH f AS (SELECT r_regionkey, r_name, string_agg(n_name || ' (x:' || n_nationkey || ')', '|' ORDER BY n_nationkey) AS notes FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT r_name AS schema, 'nation' AS name, 'enum' AS type, notes, r_regionkey % 2 = 0 AS required FROM f UNION ALL SELECT r_name, 'tags', 'list', '', false FROM f
+UNION ALL SELECT r_name, 'size' || r_regionkey, 'number', '', true FROM f UNION ALL SELECT r_name, 'open', 'string', '', false FROM f""")
 def linkml_fields(spark, d):
-    text = """
-    classes: {Sample: {slots: [age, sex, site], attributes: {tags: {multivalued: true, range: Sex}, smoker: {range: boolean}}}}
-    slots: {age: {range: integer, required: true}, sex: {range: Sex}, site: {range: Open}}
-    enums: {Sex: {permissible_values: {f: {meaning: "x:1"}, m: {}}}, Open: {reachable_from: {}}}
-    """
-    found = schema.parse(text, "x.yaml").fields
-    rows = [(f.name, f.type, "|".join(f"{v} {(f.value_descriptions or {}).get(v, '')}".strip() for v in f.allowed_values or ()), f.required) for f in found]
-    return spark.createDataFrame(rows, "name string, type string, notes string, required boolean")
+    """A schema for each region, whose enum has its nations, as text that is parsed."""
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    value = F.concat(F.lit("      "), "n_name", F.lit(': {meaning: "x:'), F.col("n_nationkey").cast("string"), F.lit('"}'))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", value.alias("v")))), lambda x: x["v"]), "\n")
+    body = """
+classes: {Sample: {slots: [nation, size%d, open], attributes: {tags: {multivalued: true, range: Nation}}}}
+slots: {nation: {range: Nation, required: %s}, size%d: {range: integer, required: true}, open: {range: Open}}
+enums:
+  Open: {reachable_from: {}}
+  Nation:
+    permissible_values:
+%s
+"""
+    texts = n.groupBy("r_name", "r_regionkey").agg(listed.alias("values")).select(
+        F.col("r_name").alias("schema"), F.format_string(body, "r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, "true").otherwise("false"), "r_regionkey", "values").alias("text")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, text in batch.itertuples(index=False):
+                for f in schema.parse(text, "x.yaml").fields:
+                    notes = "|".join(f"{v} {(f.value_descriptions or {}).get(v, '')}".strip() for v in f.allowed_values or ())
+                    rows.append((name, f.name, f.type, notes, f.required))
+            yield pd.DataFrame(rows, columns=["schema", "name", "type", "notes", "required"])
+
+    return texts.mapInPandas(run, "schema string, name string, type string, notes string, required boolean")
 
 
 @query("""

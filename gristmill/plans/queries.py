@@ -500,24 +500,39 @@ def matrix_test(spark, d):
     return profile.feature_matrix(body.unionByName(head))
 
 
-_HEADERS = ["C_CUSTKEY", "Nation", "Market-Segment", "gender", "Run", "custkey", "acctbal", "Sub ject"]
-_TARGETS = ["c_custkey", "market_segment", "sex", "ncbi_accession", "country", "custkey", "subject_id"]
-
-
 @query("""
-WITH h AS (SELECT * FROM (VALUES (0, 'C_CUSTKEY'), (1, 'Nation'), (2, 'Market-Segment'), (3, 'gender'), (4, 'Run'), (5, 'custkey'), (6, 'acctbal'), (7, 'Sub ject')) t(i, header)),
-f AS (SELECT unnest(['c_custkey', 'market_segment', 'sex', 'ncbi_accession', 'country', 'custkey', 'subject_id']) AS field),
-a AS (SELECT * FROM (VALUES ('gender', 'sex'), ('run', 'ncbi_accession'), ('nation', 'country'), ('subject', 'subject_id')) t(k, field)),
-m AS (SELECT i, header, f.field, CASE WHEN lower(header) = lower(f.field) THEN 'exact' WHEN regexp_replace(lower(header), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(f.field), '[^a-z0-9]+', '', 'g') THEN 'normalized'
-   WHEN a.field IS NOT NULL THEN 'alias' END AS tier FROM h CROSS JOIN f LEFT JOIN a ON a.k = regexp_replace(lower(header), '[^a-z0-9]+', '', 'g') AND a.field = f.field)
-SELECT h.header, m.field, m.tier FROM h LEFT JOIN m ON m.header = h.header AND m.tier IS NOT NULL""")
+WITH p AS (SELECT *, p_partkey // 10 AS table_id, p_partkey % 10 AS col_idx, p_partkey % 6 AS how, length(p_name) AS n FROM part),
+h AS (SELECT table_id, col_idx, CASE how WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN 'A-' || p_name WHEN 3 THEN p_name[1:1] || p_name[3:] WHEN 4 THEN p_name[1:1] || p_name ELSE 'no field' || p_partkey END AS header,
+        CASE WHEN how < 5 THEN p_name END AS field, CASE how WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' WHEN 2 THEN 'alias' WHEN 3 THEN 'fuzzy' WHEN 4 THEN 'fuzzy' END AS tier,
+        CASE WHEN how < 3 THEN 100.0 WHEN how = 3 THEN 200.0 * (n - 1) / (2 * n - 1) WHEN how = 4 THEN 200.0 * n / (2 * n + 1) END::DOUBLE AS score FROM p)
+SELECT *, field IS NOT NULL AND col_idx > min(col_idx) OVER (PARTITION BY table_id, field) AS collided FROM h""")
 def header_map(spark, d):
-    found = mapping.map_headers(_HEADERS, _TARGETS)
-    return spark.createDataFrame([(h, found.mapped.get(h), found.tier.get(h)) for h in _HEADERS], "header string, field string, tier string")
+    """Headers that are names of parts, written in other ways, against all names as fields."""
+    p, name = _t(spark, d, "part"), F.col("p_name")
+    k, first = F.col("p_partkey"), F.substring("p_name", 1, 1)
+    ways = [F.upper(name), F.replace(name, F.lit(" "), F.lit("_")), F.concat(F.lit("A-"), name), F.concat(first, F.expr("substring(p_name, 3)")), F.concat(first, name), F.concat(F.lit("no field"), k.cast("string"))]
+    header = F.element_at(F.array(*ways), (k % 6 + 1).cast("int"))
+    fields = [r.p_name for r in p.select("p_name").distinct().orderBy("p_name").collect()]  # a schema's worth of names
+    headers = p.select(F.floor(k / 10).alias("table_id"), (k % 10).alias("col_idx"), header.alias("header"))
+    return mapping.map_header_rows(headers, fields, {f"a {f}": f for f in fields})
 
 
 # ---------------------------------------------------------------- text
 
+@query("""
+WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN translate(substring(text, length(text) // 3 + 1, 40), 'aeiou', 'AEIOU') WHEN 1 THEN ' ' || reverse(substring(text, 1, 60)) || 'x' WHEN 2 THEN '' ELSE right(text, 80) END AS quote FROM documents),
+t AS (SELECT *, trim(quote, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM q)
+SELECT count(*) FILTER (coalesce(bare, '') = '') AS violations, count(*) FILTER (bare <> '' AND text <> '') AS checked, count(*) FILTER (bare <> '' AND contains(lower(text), lower(bare))) AS matched,
+       count(*) FILTER (bare <> '' AND contains(lower(text), lower(bare))) / count(*) FILTER (bare <> '' AND text <> '')::DOUBLE AS rate FROM t""")
+def faithfulness_quotes(spark, d):
+    """Quotes of every document: of its middle with capital vowels, of its end, of its beginning reversed, and none."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("study"), "text")
+    k, text = F.col("study") % 4, F.col("text")
+    quote = F.when(k == 0, F.translate(F.substring(text, (F.floor(F.length(text) / 3) + 1).cast("int"), F.lit(40)), "aeiou", "AEIOU")).when(k == 1, F.concat(F.lit(" "), F.reverse(F.substring(text, 1, 60)), F.lit("x"))).when(k == 2, "").otherwise(F.right(text, F.lit(80)))
+    fields = docs.select("study", F.lit("f").alias("field"), F.lit("v").alias("value"), quote.alias("evidence_quote"))
+    return evaluate.faithfulness(fields, docs)
+
+
 _MARKS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]+", "license": r"\bLicense[, .]"}
 _NEAR = ("licensed", "released", "version", " the ", "@")
 
