@@ -3,9 +3,10 @@
 A template and a text are aligned on the words that occur once in each: the
 longest increasing run of such anchors is kept, and the gaps between anchors
 are aligned in the same way, down to equal words at a gap's ends.  The share of
-a template's words that find their place in the text is its coverage.  A text
-that repeats a notice has few words that occur once; where the alignment leaves
-words of the template out, an exact one is made in every window that may hold more.
+a template's words that find their place in the text is its coverage.  As a text
+that repeats a notice has few words that occur once, windows are cut first, from
+every place where a copy may begin, and each is aligned by itself; a gap without
+words that occur once takes those that occur equally often on both sides.
 """
 
 from __future__ import annotations
@@ -95,6 +96,11 @@ TEMPLATES: dict[str, list[str]] = {
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
         "notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
@@ -150,6 +156,16 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _paired(a: list[int], b: list[int], part: tuple[int, int, int, int], items: set[int]) -> list[tuple[int, int]]:
+    """(i, j) of each occurrence in a part of a with the same one in a part of b, of items that are as often in both."""
+    a0, a1, b0, b1 = part
+    where: dict[int, list[int]] = {}
+    for j in range(b1 - 1, b0 - 1, -1):
+        if b[j] in items:
+            where.setdefault(b[j], []).append(j)
+    return [(i, where[a[i]].pop()) for i in range(a0, a1) if a[i] in items]
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched places (i, j) of equal items, both increasing, by patience alignment."""
     out: list[tuple[int, int]] = []
@@ -165,8 +181,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         if a0 == a1 or b0 == b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        where = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
-        anchors = [(i, where[x]) for i, x in enumerate(a[a0:a1], a0) if in_a[x] == 1 and x in where]
+        anchors = _paired(a, b, (a0, a1, b0, b1), {x for x, n in in_a.items() if n == in_b[x] == 1}) or _paired(a, b, (a0, a1, b0, b1), {x for x, n in in_a.items() if n == in_b[x]})
         kept = _longest_increasing(anchors)
         if not kept:
             continue
@@ -176,83 +191,34 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_window(matched: list[tuple[int, int]], size: int, stretch: float = MAX_STRETCH) -> tuple[int, int, int]:
-    """(matches, first place, last place) of the densest part of an alignment: at most stretch * size (and 8) places of the text long."""
-    best, lo = (0, 0, 0), 0
-    reach = max(8, int(stretch * size))
-    for hi in range(len(matched)):
-        while matched[hi][1] - matched[lo][1] >= reach:
-            lo += 1
-        if hi - lo + 1 > best[0]:
-            best = (hi - lo + 1, matched[lo][1], matched[hi][1])
-    return best
-
-
-def _common(where: dict[int, int], size: int, b: list[int]) -> list[int]:
-    """The state of a bit-parallel longest common subsequence before and after each item of b.
-
-    where: the places (bits) of every item of a; a zero in a state is a step of the length over the leading items of a.
-    """
-    full = (1 << size) - 1
-    out = [full]
-    for x in b:
-        v = out[-1]
-        u = v & where.get(x, 0)
-        out.append(((v + u) | (v - u)) & full)
-    return out
-
-
-def _bits(a: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i, x in enumerate(a):
-        out[x] = out.get(x, 0) | 1 << i
-    return out
-
-
-def exact(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched places (i, j) of a longest common subsequence, with the earliest last j."""
-    states, out = _common(_bits(a), len(a), b), []
-    i, j = len(a), len(b)
-    while i and j:
-        if states[j] >> (i - 1) & 1:
-            i -= 1
-        elif not states[j - 1] >> (i - 1) & 1:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
-
-
-def exact_window(a: list[int], b: list[int], places: list[int], least: int, stretch: float = MAX_STRETCH) -> tuple[int, int, int]:
-    """(matches, first place, last place) of the first window with most items of a in order, of those with `least` or more; else zeros.
+def windows(a: list[int], b: list[int], places: list[int], least: int, stretch: float = MAX_STRETCH) -> Iterator[tuple[int, int, int]]:
+    """(lo, hi, bound): windows b[lo:hi] in which `least` items of a may be matched; bound: no more of them can be.
 
-    b: the items of a text that are in a, at ascending `places`.
+    b: the items of a text that are in a, at ascending `places`.  A window begins
+    where a copy may begin, at one of the first items of a of which `least`
+    still follow, and ends stretch * len(a) (and 8) places on; or before that,
+    where an item that a has once comes again.
     """
     reach = max(8, int(stretch * len(a)))
-    where, wanted, opening = _bits(a), Counter(a), set(a[: len(a) - least + 1])
-    best, found, bound, hi = least - 1, None, 0, 0
+    wanted, opening = Counter(a), set(a[: len(a) - least + 1])
+    # of each item that a has once, the next place in b
+    again, after = [len(b)] * (len(b) + 1), {}
+    for k in range(len(b) - 1, -1, -1):
+        again[k] = min(again[k + 1], after.get(b[k], len(b)) if wanted[b[k]] == 1 else len(b))
+        after[b[k]] = k
+    bound, hi = 0, 0
     have: Counter[int] = Counter()
     for lo, x in enumerate(b):
         while hi < len(b) and places[hi] - places[lo] < reach:
             bound += have[b[hi]] < wanted[b[hi]]
             have[b[hi]] += 1
             hi += 1
-        # bound: no more items than this can be matched
-        if bound > best and x in opening:
-            n = len(a) - _common(where, len(a), b[lo:hi])[-1].bit_count()
-            if n > best:
-                best, found = n, (lo, hi)
-                if n == len(a):
-                    break
+        if bound >= least and x in opening:
+            if again[lo] < hi and again[lo] - lo >= least:
+                yield lo, again[lo], min(bound, again[lo] - lo)
+            yield lo, hi, bound
         have[x] -= 1
         bound -= have[x] < wanted[x]
-    if found is None:
-        return 0, 0, 0
-    lo, hi = found
-    last = lo + exact(a, b[lo:hi])[-1][1]
-    first = last - exact(a[::-1], b[lo : last + 1][::-1])[-1][1]
-    return best, places[first], places[last]
 
 
 def _keys(text: str) -> np.ndarray:
@@ -297,25 +263,30 @@ class _Scanner:
         return out
 
     def _place(self, w: Words, i: int, at: np.ndarray, keys: np.ndarray) -> dict | None:
-        """The best place of a template, looked for around each of the text's runs of its words."""
+        """The first place with most words of a template aligned, in the windows of each of the text's runs of its words."""
         mine = at[np.isin(w.key[at], keys)]
         reach = max(8, int(MAX_STRETCH * len(keys)))
         runs = np.split(mine, np.flatnonzero(np.diff(mine) >= reach) + 1)
-        best = None
+        a, least = keys.tolist(), max(1, ceil(self.coverage * len(keys) - 1e-9))
+        best, found = least - 1, None
         for run in runs:
-            if len(run) < self.coverage * len(keys):
+            if len(run) < least:
                 continue
-            lo, hi = int(run[0]), int(run[-1]) + 1
-            n, first, last = best_window(align(keys.tolist(), w.key[lo:hi].tolist()), len(keys))
-            if n < len(keys):
-                least = max(1, n + 1, ceil(self.coverage * len(keys) - 1e-9))
-                more = exact_window(keys.tolist(), w.key[run].tolist(), (run - lo).tolist(), least)
-                n, first, last = more if more[0] else (n, first, last)
-            share = n / len(keys)
-            if share >= self.coverage and (best is None or share > best["coverage"]):
-                base = w.doc_off[i]
-                best = {"coverage": share, "words": n, "first_byte": int(w.start[lo + first] - base), "end_byte": int(w.end[lo + last] - base)}
-        return best
+            b = w.key[run].tolist()
+            for lo, hi, bound in windows(a, b, run.tolist(), least):
+                if bound <= best:
+                    continue
+                matched = align(a, b[lo:hi])
+                if len(matched) > best:
+                    best, found = len(matched), (int(run[lo + matched[0][1]]), int(run[lo + matched[-1][1]]))
+                if best == len(a):
+                    break
+            if best == len(a):
+                break
+        if found is None:
+            return None
+        base = w.doc_off[i]
+        return {"coverage": best / len(a), "words": best, "first_byte": int(w.start[found[0]] - base), "end_byte": int(w.end[found[1]] - base)}
 
 
 FOUND = T.ArrayType(
@@ -332,13 +303,19 @@ FOUND = T.ArrayType(
 )
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Templates of a folder of license texts, one a file, by the file's name without its ending; the caller bounds their number."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt|\.md)?$", 1).alias("name"), "value")
+    return {r.name: [r.value] for r in files.orderBy("name").collect()}
+
+
 def scan_licenses(
     docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, list[str]] | None = None, coverage: float = MIN_COVERAGE
 ) -> DataFrame:
     """One row for each document: doc_id, n_found, found.
 
     found lists every template with at least `coverage` of its words aligned in
-    the text, with the best place.  Case and punctuation do not count.  A null
+    the text by patience alignment, with the best place.  Case and punctuation do not count.  A null
     or empty text has none; repeated rows are scanned each.  Large templates
     and texts are aligned whole; the templates travel with the task and are the
     caller's to bound.

@@ -466,18 +466,56 @@ def test_licenses_are_found_in_place(spark):
     assert rows[3][1][best.first_byte : best.end_byte] == "Released under the MIT License"
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 6), min_size=1, max_size=12), st.lists(st.integers(0, 6), max_size=60), st.integers(1, 12))
-def test_exact_windows_miss_nothing(a, b, least):
-    least = min(least, len(a))
-    pairs = license_scan.exact(a, b)
-    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])) and len(pairs) == longest_common(a, b)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=12), st.lists(st.integers(0, 12), max_size=60), st.integers(1, 12))
+def test_windows_hold_every_place_that_may_do(a, b, least):
+    least, reach = min(least, len(a)), max(8, 2 * len(a))
     places = [j for j, x in enumerate(b) if x in a]
-    reach = max(8, 2 * len(a))
+    items = [b[j] for j in places]
+    found = list(license_scan.windows(a, items, places, least))
     most = max((longest_common(a, b[j : j + reach]) for j in places), default=0)
-    n, first, last = license_scan.exact_window(a, [b[j] for j in places], places, least)
-    assert n == (most if most >= least else 0)
-    assert not n or (last - first < reach and longest_common(a, b[first : last + 1]) == n)
+    assert max((longest_common(a, items[lo:hi]) for lo, hi, _ in found), default=0) == (most if most >= least else 0)
+    for lo, hi, bound in found:
+        assert places[hi - 1] - places[lo] < reach and bound >= longest_common(a, items[lo:hi])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6))
+def test_copies_with_a_few_changes_are_covered_as_by_the_longest_common_words(seed):
+    """Templates of mostly different words, copied with words left out, put in or changed, some of them twice."""
+    rng = random.Random(seed)
+    a = [rng.randrange(40) for _ in range(rng.randint(8, 40))]
+    b = [rng.randrange(100, 140) for _ in range(20)]
+    for _ in range(rng.randint(1, 3)):
+        copy = [x for x in a if rng.random() > 0.04]
+        for _ in range(rng.randint(0, 2)):
+            copy.insert(rng.randrange(len(copy) + 1), rng.randrange(100, 140))
+        b += copy + [rng.randrange(100, 140) for _ in range(rng.randint(0, 30))]
+    text = " ".join(f"w{x}" for x in b)
+    found = license_scan._Scanner({"x": [" ".join(f"w{x}" for x in a)]}, 0.8).scan(pa.array([text]))[0]
+    reach = max(8, 2 * len(a))
+    most = max(longest_common(a, b[j : j + reach]) for j in range(len(b)))
+    if most >= 0.8 * len(a):
+        assert found and found[0]["words"] >= max(0.8 * len(a), most - 1)
+    else:
+        assert not found
+
+
+def test_nothing_is_found_without_alignment(monkeypatch):
+    scanner = license_scan._Scanner(license_scan.TEMPLATES, 0.8)
+    texts = pa.array(["Released under the MIT License. " * k for k in (1, 2, 5)])
+    assert all(scanner.scan(texts))
+    monkeypatch.setattr(license_scan, "align", lambda a, b: [])
+    assert not any(scanner.scan(texts))
+
+
+def test_templates_may_come_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this work as you like, but tell me of it.")
+    (tmp_path / "Other").write_text("All rights to this one are kept by those who made it.")
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "x you may do with this work as you like but tell me of it y"), (2, "no")], "doc_id long, text string")
+    got = {r.doc_id: [x.license for x in r.found] for r in license_scan.scan_licenses(rows, templates=templates).collect()}
+    assert list(templates) == ["Other", "Own-1.0"] and got == {1: ["Own-1.0"], 2: []}
 
 
 def test_a_repeated_notice_is_found(spark):
