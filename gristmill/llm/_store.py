@@ -21,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or the checkpoint folder of its context.
 
     Where neither is set: on one machine (a local master) a new temporary
-    folder, which becomes the context's; on a cluster the warehouse, which all
-    executors see.
+    folder, which becomes the context's; on a cluster the warehouse, unless that
+    is a folder of each machine, which is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
-            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if _path(spark, warehouse)[0].getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share; the warehouse is a folder of each machine")
+            return warehouse
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().rstrip("/")
 

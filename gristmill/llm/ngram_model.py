@@ -4,8 +4,8 @@ Counts of all words and word pairs of the training texts are quantised on a
 logarithmic scale.  An n-gram of level j is put into a Bloom filter together
 with each of the levels 1..j, so its count is read back by probing the levels
 in turn until one is missing.  Every counted n-gram is in it, at every size of
-input: the filter grows with them.  Up to FILTER_BITS it is broadcast.  A larger
-one stays a table of groups of segments; the distinct n-grams of a few megabytes
+input: the filter grows with them.  It is made of groups of segments.  Up to a
+given size it is broadcast; a larger one stays a table of its groups, and the distinct n-grams of a few megabytes
 of text at a time are shuffled to the groups that tell their levels, and the
 levels back to the texts, so the work grows with the texts and not with the
 filter.  Both ways make the same probes and give the same levels.
@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 from ._store import BATCH_BYTES, discard, map_batches, materialize
 from ._text import Words, mix, slabs
 
-#: Largest filter that is broadcast (bits): 8 MiB, below Spark's own bound for tables that joins broadcast.
+#: Largest filter that is broadcast where the caller names none (bits): 8 MiB, below Spark's own bound for tables that joins broadcast.
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
-#: Segments of a group of a larger filter, and the bytes of texts whose probes a group should be asked at once.
+#: Segments of a group of the filter, and the bytes of texts whose probes a group should be asked at once.
 GROUP, ASKED_BYTES = 16, 32 << 20
 PROBES = 6
 #: Bits that the filter should have for each entry.
@@ -219,16 +219,21 @@ def spread(rest: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class BloomCounts:
-    """A filter of n_segments segments: the whole one, or one group of a larger one, which is asked for rests of keys."""
+    """The bits of n_groups groups of GROUP segments: of a whole filter, or of one group of it."""
 
     bits: np.ndarray
-    n_segments: int
+    n_groups: int
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Level of every key: probes of level 1, 2, ... until one misses."""
+        """Level of every key of the whole filter."""
+        return self.levels_of(segment_of(key, self.n_groups), rests(key))
+
+    def levels_of(self, group: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Level of every rest in its group: probes of level 1, 2, ... until one misses."""
+        key = spread(rest)
         level = np.zeros(len(key), np.uint8)
         at, j = np.arange(len(key)), 0
-        base = segment_of(key, self.n_segments) * SEGMENT_BITS
+        base = (group * GROUP + segment_of(key, GROUP)) * SEGMENT_BITS
         while len(at):
             j += 1
             entry, step = _entry(key[at], j)
@@ -259,15 +264,10 @@ def positions(key: np.ndarray, level: int) -> Iterator[np.ndarray]:
         yield _place(entry, step, i)
 
 
-def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]) -> tuple[BloomCounts | None, int, DataFrame | None]:
-    """The filter of all counted n-grams (none where it is too large to broadcast), its number of segments, and else the table of its groups."""
+def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]], filter_bits: int) -> tuple[BloomCounts | None, int, DataFrame | None]:
+    """The filter of all counted n-grams (none where it has more than filter_bits bits), its number of groups, and else the table of its groups."""
     total = sum(v[0] * j * BITS_PER_ENTRY for (_, j), v in hist.items())
-    n_segments = 1 << int(np.ceil(np.log2(max(1.0, total / SEGMENT_BITS))))
-    small = n_segments * SEGMENT_BITS <= FILTER_BITS
-    if not small:
-        n_segments = GROUP * int(np.ceil(total / SEGMENT_BITS / GROUP))
-    # segments that one group fills, so that rows of few keys do not multiply
-    together = 1 if small else GROUP
+    n_groups = max(1, int(np.ceil(total / SEGMENT_BITS / GROUP)))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,37 +275,32 @@ def build_filter(counts: DataFrame, hist: dict[tuple[int, int], tuple[int, int]]
                 level = level_of(total).astype(np.uint8)
                 if order == 1:
                     keys = _word_entry(keys)
-                group = segment_of(keys, n_segments if small else n_segments // GROUP)
-                by = np.argsort(keys) if small else by_group_and_rest(group, keys)
-                keys, level = keys[by] if small else rests(keys[by]), level[by]
+                group = segment_of(keys, n_groups)
+                by = by_group_and_rest(group, keys)
+                keys, level = rests(keys[by]), level[by]
                 ids, cut = np.unique(group[by], return_index=True)
                 ends = np.append(cut[1:], len(keys))
                 yield _rows([(order, g, _planes(keys[a:b]), level[a:b].tobytes()) for g, a, b in zip(ids.tolist(), cut, ends)])
 
     def fill(table: pa.Table) -> pa.Table:
-        bits = np.zeros(together * SEGMENT_BITS, bool)
-        keys = np.concatenate([_of_planes(k, np.uint64 if small else np.uint32) for k in table.column("keys")])
+        bits = np.zeros(GROUP * SEGMENT_BITS, bool)
+        keys = spread(np.concatenate([_of_planes(k, np.uint32) for k in table.column("keys")]))
         level = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("counts")])
-        if small:
-            base = np.zeros(len(keys), np.int64)
-        else:
-            keys = spread(keys)
-            base = segment_of(keys, GROUP) * SEGMENT_BITS
+        base = segment_of(keys, GROUP) * SEGMENT_BITS
         for j in range(1, int(level.max(initial=0)) + 1):
             keys, base, level = keys[level >= j], base[level >= j], level[level >= j]
             for place in positions(keys, j):
                 bits[base + place] = True
         return pa.table({"bucket": table.column("bucket")[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    chosen = map_batches(counts, choose, _PACKED)
-    groups = chosen.groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
-    if not small:
-        return None, n_segments, materialize(groups, "filter")
-    bits = np.zeros((n_segments, SEGMENT_BITS // 8), np.uint8)
+    groups = map_batches(counts, choose, _PACKED).groupBy("bucket").applyInArrow(fill, "bucket long, bits binary")
+    if n_groups * GROUP * SEGMENT_BITS > filter_bits:
+        return None, n_groups, materialize(groups, "filter")
+    bits = np.zeros((n_groups, GROUP * SEGMENT_BITS // 8), np.uint8)
     for r in groups.toArrow().to_batches():
         for b, blob in zip(r.column(0).to_pylist(), r.column(1)):
             bits[b] = np.frombuffer(blob.as_buffer(), np.uint8)
-    return BloomCounts(bits.reshape(-1), n_segments), n_segments, None
+    return BloomCounts(bits.reshape(-1), n_groups), n_groups, None
 
 
 @dataclass(frozen=True)
@@ -316,7 +311,7 @@ class NgramModel:
     """
 
     filter: BloomCounts | None
-    n_segments: int
+    n_groups: int
     head_keys: np.ndarray
     head_counts: np.ndarray
     n_tokens: int
@@ -359,9 +354,9 @@ class Probes:
         pairs, pair = _distinct(pair_keys(doc, key)[1])
         return cls(w, doc, key, words, which, np.concatenate([_word_entry(words), pairs]), pair + len(words))
 
-    def by_group(self, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
+    def by_group(self, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
         """(group of every entry, order of the entries by group)."""
-        group = segment_of(self.entries, n_segments // GROUP)
+        group = segment_of(self.entries, n_groups)
         return group, by_group_and_rest(group, self.entries)
 
     def per_token(self, level: np.ndarray) -> np.ndarray:
@@ -390,18 +385,18 @@ def _slab(value: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
 
 
-def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> DataFrame:
+def _asked(slabs_: DataFrame, at: int, n_groups: int, groups: DataFrame) -> DataFrame:
     """Levels (slab, bucket, levels) of the entries of every slab, in the order of Probes.by_group; the text is column `at`.
 
     A group of the filter is asked in as many parts as its probes need, each with a copy of its bits.
     """
-    parts = int(np.ceil(max(1, slabs_.count()) * BATCH_BYTES / (n_segments / GROUP) / ASKED_BYTES))
+    parts = int(np.ceil(max(1, slabs_.count()) * BATCH_BYTES / n_groups / ASKED_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 probes = Probes.of(_slab(value).column(at))
-                group, by = probes.by_group(n_segments)
+                group, by = probes.by_group(n_groups)
                 keys = rests(probes.entries[by])
                 ids, cut = np.unique(group[by], return_index=True)
                 blobs = [_planes(keys[a:b]) for a, b in zip(cut, np.append(cut[1:], len(keys)))]
@@ -415,7 +410,7 @@ def _asked(slabs_: DataFrame, at: int, n_segments: int, groups: DataFrame) -> Da
         level = np.zeros(ends[-1], np.uint8)
         if group.num_rows:
             bits = np.frombuffer(group.column("bits")[0].as_buffer(), np.uint8)
-            level = BloomCounts(bits, GROUP).levels(spread(np.concatenate(keys)))
+            level = BloomCounts(bits, 1).levels_of(np.zeros(ends[-1], np.int64), np.concatenate(keys))
         return pa.table({"slab": asked.column("slab"), "bucket": asked.column("bucket"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     asked = map_batches(slabs_, ask, "slab long, bucket long, keys binary")
@@ -431,8 +426,13 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
-    """Learns from every row; also gives the exact counts (word, n) of the words that the model does not carry."""
+def train(docs: DataFrame, text: str = "text", filter_bits: int | None = None) -> tuple[NgramModel, DataFrame]:
+    """Learns from every row; also gives the exact counts (word, n) of the words that the model does not carry.
+
+    filter_bits: the largest filter that is broadcast, to be chosen by the memory
+    of the driver and of each Python worker (FILTER_BITS if not given).  It
+    decides how levels are looked up, not what they are.
+    """
     counts = materialize(count_ngrams(docs, text), "ngrams")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,11 +467,11 @@ def train(docs: DataFrame, text: str = "text") -> tuple[NgramModel, DataFrame]:
     head = as_rows(True).toArrow()
     keys = head.column("word").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    bloom, n_segments, segments = build_filter(counts, hist)
+    bloom, n_groups, segments = build_filter(counts, hist, FILTER_BITS if filter_bits is None else filter_bits)
     prior = fit_prior([(t, m / t) for (o, _), (t, m) in hist.items() if o == 1], hist.get((2, 1), (0, 0))[0])
     rare = materialize(as_rows(False), "rare")
     discard(counts)
-    return NgramModel(bloom, n_segments, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, prior, segments), rare
+    return NgramModel(bloom, n_groups, keys[by], head.column("n").to_numpy()[by], n_tokens, n_types, prior, segments), rare
 
 
 def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
@@ -486,8 +486,8 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
     extra = [("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_score", T.DoubleType()), ("score", T.DoubleType())]
     extra += [("row", T.LongType()), ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType()))]
     schema = T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)], *[T.StructField(n, t) for n, t in extra]])
-    denominator, n_segments = model.n_tokens + model.n_types + 1, model.n_segments
-    # FILTER_BITS / 8 + 16 * HEAD_WORDS bytes at most
+    denominator, n_groups = model.n_tokens + model.n_types + 1, model.n_groups
+    # filter_bits / 8 + 16 * HEAD_WORDS bytes at most
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
 
     def scored(part: pa.RecordBatch, probes: Probes, level: np.ndarray, row: int) -> list[pa.Array]:
@@ -526,14 +526,14 @@ def score(docs: DataFrame, model: NgramModel, rare: DataFrame, text: str = "text
         probes = Probes.of(part.column(len(kept)))
         level = np.empty(len(probes.entries), np.uint8)
         blobs = told.sort_by("bucket").column("levels")
-        level[probes.by_group(n_segments)[1]] = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in blobs])
+        level[probes.by_group(n_groups)[1]] = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in blobs])
         return pa.Table.from_arrays(scored(part, probes, level, slab.column("slab")[0].as_py()), schema.names)
 
     if model.segments is None:
         first = materialize(map_batches(picked, run, schema), "scores")
     else:
         texts = _slabs(picked.toDF(*schema.names[: len(kept)], "text"))
-        told = _asked(texts, len(kept), n_segments, model.segments)
+        told = _asked(texts, len(kept), n_groups, model.segments)
         first = materialize(texts.groupBy("slab").cogroup(told.groupBy("slab")).applyInArrow(finish, schema), "scores")
         discard(texts, told)
     shared.destroy()
