@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import evaluate as ev
 from .operators import joins, mapping, profile, records
 from .plans.table_plan import PlanError, TablePlan, execute, identity_plan, with_dropped_fields
+from .shared import written
 from .sources import grid as grids
 from .sources import results as res
 from .sources.schema import Schema
@@ -103,7 +104,7 @@ class Engine:
         return records.bounded_ages(filled.select("study", "row_idx", "values")), fields
 
     def evaluate(self, samples: DataFrame, gold: DataFrame, field_map: dict[str, str], fields: DataFrame | None = None, **options) -> dict[str, DataFrame]:
-        """cells, by_field, total, strata."""
-        cells = ev.cells(samples, gold, field_map, fields, **options)
+        """cells, by_field, total, strata.  Cells are written to the shared folder, so that they are made once for all metrics."""
+        cells = written(ev.cells(samples, gold, field_map, fields, **options))
         return {"cells": cells, "by_field": ev.metrics_by_field(cells, list(field_map)), "total": ev.micro(cells), "strata": ev.strata(cells)}
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..engine import Engine
 from ..operators import evaluate
 from ..operators.records import AGE_NOTE
-from ..sources import results
+from ..shared import scratch, written
 from ..sinks import sample_rows
+from ..sources import results
+from . import table_plan
 from .queries import _map, _t, query
 
 
@@ -98,3 +101,42 @@ def age_retrofit(spark, d):
     at = {"kept": "$.extra.kept", "low": "$.samples[0].age_min", "high": "$.samples[0].age_max", "study_low": "$.fields.age_min.value", "notes": "$.fields.age_min.notes"}
     words = F.array_join(F.from_json(F.get_json_object("raw", "$.fields.words.value"), "array<string>"), "|")
     return done.select("paper_id", "n_written", *[F.get_json_object("raw", path).alias(n) for n, path in at.items()], words.alias("words"))
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey::VARCHAR AS study, * FROM part),
+c AS (SELECT study, 'words' AS field, CASE p_partkey % 5 WHEN 1 THEN 'TP_wrong' ELSE 'TP_correct' END AS decision FROM g
+  UNION ALL SELECT study, 'age_min', CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'TP_correct' ELSE 'TP_wrong' END ELSE 'FP' END FROM g
+  UNION ALL SELECT study, 'sample_id', 'TP_correct' FROM g)
+SELECT field, count(*) FILTER (decision = 'TN') AS tn, count(*) FILTER (decision = 'TP_correct') AS tp_correct, count(*) FILTER (decision = 'TP_wrong') AS tp_wrong,
+       count(*) FILTER (decision = 'FN') AS fn, count(*) FILTER (decision = 'FP') AS fp, count(*) FILTER (decision = 'TP_correct') / count(*) FILTER (decision LIKE 'TP%')::DOUBLE AS value_accuracy FROM c GROUP BY field""")
+def whole_evaluation(spark, d):
+    """Stored answers to records, against twenty gold files that are written and read back: metrics by field."""
+    k = F.col("p_partkey")
+    low = F.when(k % 3 == 0, F.when(F.col("p_size") % 2 == 0, "18.5").otherwise("30")).otherwise("NA")
+    words = F.replace("p_name", F.lit(" "), F.lit("; "))
+    gold = _t(spark, d, "part").select((k % 20).cast("string").alias("paper_id"), k.alias("at"), F.concat(F.lit("p"), k.cast("string")).alias("sample_id"), words.alias("words"), low.alias("age_min"))
+    folder = scratch(spark)
+    sinks.write_table_files(gold, folder, "at", ".tsv", "\t")
+    samples, _ = Engine(spark).records(_part_answers(spark, d))
+    part = F.col("study").cast("long")
+    # written, so that records are made once for all metrics
+    placed = written(samples).select((part % 20).cast("string").alias("study"), F.floor(part / 20).alias("row_idx"), "values")
+    names = ["sample_id", "words", "age_min"]
+    found = Engine(spark).evaluate(placed, results.read_gold(spark, folder), evaluate.field_map(names, names))
+    return found["by_field"].select("field", "tn", "tp_correct", "tp_wrong", "fn", "fp", "value_accuracy")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+w AS (SELECT o_custkey, bool_or(o_orderkey % 3 = 0) AS wide, count(*) AS n FROM o WHERE i <= 20 GROUP BY o_custkey)
+SELECT 'c' || o_custkey AS table_id, CASE WHEN any_value(wide) THEN 'row' || chr(9) || 'c0' || chr(9) || 'c1' ELSE 'row' || chr(9) || 'c0' END || chr(10)
+  || string_agg((i - 1) || chr(9) || o_orderkey || ' ' || o_orderstatus || CASE WHEN wide THEN chr(9) || CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END ELSE '' END, chr(10) ORDER BY i) AS text
+FROM o JOIN w USING (o_custkey) WHERE i <= 20 GROUP BY o_custkey""")
+def planner_grids(spark, d):
+    """The first rows of a ragged grid for each customer, as a planner sees them."""
+    o = _t(spark, d, "orders")
+    first = F.concat_ws("\n", F.col("o_orderkey").cast("string"), "o_orderstatus")
+    cells = F.when(F.col("o_orderkey") % 3 == 0, F.array(first, F.col("o_orderpriority"))).otherwise(F.array(first))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return table_plan.shown_grids(o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("table_id"), place.cast("long").alias("row_idx"), cells.alias("cells")))

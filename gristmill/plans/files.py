@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sinks
 from ..shared import scratch
 from ..sources import grid as grids
+from ..sources import layout
 from .queries import _map, _t, query
 
 
@@ -65,3 +67,43 @@ def ingested_files(spark, d):
     sizes = grids.grids(parts).groupBy(F.col("table_id").alias("name")).agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).cast("long").alias("width"))
     out = grids.ingest_log(parts).join(grids.texts(parts), "name", "left").join(sizes, "name", "left")
     return out.select("name", "status", "reason", "block", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "width")
+
+
+def _page_words(spark, d):
+    """Positioned words of a document a customer: a title, a table of its orders with blank cells, and a closing line; five orders a page."""
+    o = _t(spark, d, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    at = o.select(F.col("o_custkey").alias("doc"), (F.floor(place / 5) + 1).alias("page"), (place % 5).alias("i"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+    def word(text: F.Column, x: float | F.Column, y: F.Column) -> F.Column:
+        x = F.lit(x) if isinstance(x, float) else x
+        return F.struct(text.alias("text"), x.alias("x0"), y.alias("top"), (x + 5.0 * F.length(text)).alias("x1"), (y + 10.0).alias("bottom"))
+
+    y = F.col("i") * 14.0 + 60.0
+    jitter = F.when(F.col("o_orderkey") % 2 == 0, 1.5).otherwise(0.0)
+    key = F.col("o_orderkey").cast("string")
+    row = [word(key, 40.0, y), word(F.lit("order"), F.length(key) * 5.0 + 44.0, y + jitter), F.when(F.col("o_orderkey") % 3 != 0, word(F.col("o_orderstatus"), 200.0, y + jitter)), word(F.split("o_orderpriority", "-")[0], 300.0, y)]
+    words = at.select("doc", "page", F.inline(F.filter(F.array(*row), lambda w: w.isNotNull())))
+    pages = at.select("doc", "page").distinct()
+    title = pages.select("doc", "page", F.inline(F.array(word(F.lit("Orders"), 40.0, F.lit(20.0)), word(F.lit("of"), 73.0, F.lit(20.0)), word(F.col("doc").cast("string"), 88.0, F.lit(21.0)))))
+    return words.unionByName(title).unionByName(pages.select("doc", "page", F.inline(F.array(word(F.lit("end"), 40.0, F.lit(300.0))))))
+
+
+_PAGES = """
+o AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderstatus AS s, string_split(o_orderpriority, '-')[1] AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+g AS (SELECT *, (r - 1) // 5 + 1 AS page, (r - 1) % 5 AS i FROM o),
+t AS (SELECT doc, page, count(*) AS n, bool_or(k % 3 <> 0) AS has_status FROM g GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_PAGES}
+SELECT doc || '::p' || page || '_t1' AS table_id, i::BIGINT AS row_idx, k || ' order|' || CASE WHEN has_status THEN CASE WHEN k % 3 <> 0 THEN s ELSE '' END || '|' ELSE '' END || p AS line FROM g JOIN t USING (doc, page) WHERE n >= 2""")
+def page_tables(spark, d):
+    return layout.page_tables(layout.cells(_page_words(spark, d))).select("table_id", "row_idx", F.array_join("cells", "|").alias("line"))
+
+
+@query(f"""
+WITH {_PAGES}
+SELECT doc, page, 'Orders of ' || doc || chr(10) || CASE WHEN n < 2 THEN any_value(k || ' order ' || CASE WHEN k % 3 <> 0 THEN s || ' ' ELSE '' END || p) || chr(10) ELSE '' END || 'end' AS text FROM g JOIN t USING (doc, page) GROUP BY doc, page, n""")
+def page_texts(spark, d):
+    return layout.page_texts(layout.cells(_page_words(spark, d)))

@@ -160,7 +160,20 @@ def merged_header(rows: list[list[str]], sep: str = " | ") -> list[str]:
     return merged
 
 
-def shown_grid(grid: DataFrame, n: int = 20) -> DataFrame:
-    """(row_idx, line): the first n rows as tab-separated text, tabs and line breaks as blanks, to show to a planner."""
-    clean = F.transform("cells", lambda c: F.regexp_replace(c, "[\t\n]", " "))
-    return grid.where(F.col("row_idx") < n).select("row_idx", F.concat_ws("\t", F.col("row_idx").cast("string"), clean).alias("line"))
+def shown_grids(grid: DataFrame, n: int = 20) -> DataFrame:
+    """(table_id, text): the first n rows of every grid as numbered, tab-separated lines under numbered columns, to show to a planner.
+
+    Short rows are padded to the widest of those shown; tabs and line breaks
+    are blanks.  A table holds n rows here at most, so its text is small.
+    """
+    clean = F.transform("cells", lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\t\n]", " "))
+    head = grid.where(F.col("row_idx") < n).select("table_id", F.struct("row_idx", clean.alias("cells")).alias("r"))
+    tables = head.groupBy("table_id").agg(F.array_sort(F.collect_list("r")).alias("rows"), F.max(F.size("r.cells")).alias("width"))
+    header = F.concat(F.array(F.lit("row")), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.concat(F.lit("c"), i.cast("string"))))
+    header = F.when(F.col("width") > 0, header).otherwise(F.array(F.lit("row"), F.lit("")))
+
+    def line(r: Column) -> Column:
+        padded = F.concat(r["cells"], F.array_repeat(F.lit(""), (F.col("width") - F.size(r["cells"])).cast("int")))
+        return F.concat_ws("\t", r["row_idx"].cast("string"), F.array_join(padded, "\t"))
+
+    return tables.select("table_id", F.array_join(F.concat(F.array(F.array_join(header, "\t")), F.transform("rows", line)), "\n").alias("text"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import typed
 
+#: Fields that identify a record rather than describe it; reports list them last.
+IDENTIFIERS = frozenset({"study_name", "sample_id", "subject_id", "pmid", "curator", "ncbi_accession", "host_species", "uncurated_metadata"})
 PROVENANCE = (("evidence_quote", "evidence"), ("section", "section"), ("confidence", "confidence"))
 
 
@@ -158,14 +160,14 @@ def write_pretty_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def benchmark_report(by_study: DataFrame, totals: DataFrame) -> str:
+def benchmark_report(by_study: DataFrame, totals: DataFrame, identifiers: frozenset[str] = IDENTIFIERS) -> str:
     """A block a study with its fields, then the fields over all studies; identifiers last.  Both tables are schema-sized."""
-    rows = sorted(by_study.collect(), key=lambda r: (r.study, r.field.endswith("_id"), r.field))
+    rows = sorted(by_study.collect(), key=lambda r: (r.study, r.field in identifiers, r.field))
     lines: list[str] = []
     for k, r in enumerate(rows):
         lines += [f"## {r.study}"] if not k or rows[k - 1].study != r.study else []
         lines.append(_line(r.field, r))
-    return "\n".join([*lines, "## all studies", *[_line(r.field, r) for r in sorted(totals.collect(), key=lambda r: (r.field.endswith("_id"), r.field))]])
+    return "\n".join([*lines, "## all studies", *[_line(r.field, r) for r in sorted(totals.collect(), key=lambda r: (r.field in identifiers, r.field))]])
 
 
 def repeats_report(summary: DataFrame, by: str, values: list[str]) -> tuple[str, list[dict]]:
@@ -187,10 +189,10 @@ def _line(label: str, r) -> str:
 
 def text_report(
     by_field: DataFrame, total: DataFrame, strata: DataFrame | None = None, cells: DataFrame | None = None, most: int = 20,
-    faithful: DataFrame | None = None, violations: DataFrame | None = None, most_violations: int = 8,
+    faithful: DataFrame | None = None, violations: DataFrame | None = None, most_violations: int = 8, identifiers: frozenset[str] = IDENTIFIERS,
 ) -> str:
     """Metrics of fields (identifiers last), of all, of strata, faithfulness, and the first violations and wrong cells."""
-    rows = sorted(by_field.collect(), key=lambda r: (r.field.endswith("_id"), r.field))
+    rows = sorted(by_field.collect(), key=lambda r: (r.field in identifiers, r.field))
     lines = [_line(r.field, r) for r in rows] + [_line("all fields", total.first())]
     for r in sorted(strata.collect(), key=lambda r: (r.stratum, r.label)) if strata is not None else []:
         lines.append(_line(f"{r.stratum}: {r.label}", r))

@@ -6,13 +6,14 @@ batch_idx, raw), from files or from a table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import typed
 from ..functions.ages import age_bounds
 from ..functions.jsontext import recovered_json
 from ..operators.records import AGE_FIELDS, AGE_NOTE, age_texts
+from .grid import SPAN_ROWS, grids, read_files
 
 #: Closed sets of the result format.
 GRANULARITIES = ("study_level", "subgroup_level", "sample_level")
@@ -34,6 +35,25 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1).alias("paper_id"), F.lit(0).alias("batch_idx"), F.col("value").alias("raw"))
 
 
+def read_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(study, row_idx, values) of gold tables, a tab-separated file a study, named by it; all values are text.
+
+    The first row names the columns; rows without cells are passed over, and a
+    short row's missing cells are null.
+    """
+    grid = grids(read_files(spark, path, "*.tsv"))
+    heads = grid.where("row_idx = 0").select("table_id", F.col("cells").alias("names"))
+    body = grid.where("row_idx > 0 AND size(cells) > 0").join(heads, "table_id")
+    values = F.map_from_entries(F.transform("names", lambda n, i: F.struct(n.alias("key"), F.get("cells", i).alias("value"))))
+    place = F.row_number().over(Window.partitionBy("table_id", F.floor(F.col("row_idx") / SPAN_ROWS)).orderBy("row_idx"))
+    numbered = body.withColumn("place", place)
+    spans = body.groupBy("table_id", F.floor(F.col("row_idx") / SPAN_ROWS).alias("span")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("table_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = spans.select("table_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    joined = numbered.withColumn("span", F.floor(F.col("row_idx") / SPAN_ROWS)).join(bases, ["table_id", "span"])
+    return joined.select(F.regexp_replace("table_id", r"(?i)\.tsv$", "").alias("study"), (F.col("base") + F.col("place") - 1).cast("bigint").alias("row_idx"), values.alias("values"))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """(paper_id, batch_idx, result, error): results that cannot be read, or break a closed set, have an error in place of values."""
     seen = raw.withColumn("result", F.from_json(recovered_json(F.col("raw")), RESULT, {"mode": "PERMISSIVE"}))
