@@ -93,7 +93,7 @@ class Engine:
 
     def records(self, raw: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(samples, fields) from stored answers: batches merged, study values handed down, age bounds filled.  Values are variants."""
-        seen = res.parsed(raw)
+        seen = written(res.parsed(raw))  # parsed once for fields, samples and subgroups
         first = res.first_fields(res.field_rows(seen))
         fields = records.bounded_study_ages(first)
         rows = res.sample_rows(seen)
