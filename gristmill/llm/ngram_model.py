@@ -38,7 +38,7 @@ from ._text import Words, mix, slabs
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
 #: Segments of a group of the filter, and the bytes of texts whose probes a group should be asked at once.
-GROUP, ASKED_BYTES = 16, 32 << 20
+GROUP, ASKED_BYTES = 16, 16 << 20
 PROBES = 6
 #: Bits that the filter should have for each entry.
 BITS_PER_ENTRY = 9.6
@@ -50,7 +50,7 @@ LEAST_PRIOR, MOST_PRIOR = 1e-3, 1e9
 HEAD_WORDS = 1 << 20
 #: Groups in which n-grams are counted, of documents up to a few million.
 _BUCKETS = 512
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
