@@ -57,7 +57,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents.
+
+    Rows without a text or without words go in the first stage; null and equal
+    keys are rows of their own in all stages; an empty table gives no pieces.
+    """
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         rows = stage(spark, rows, sf_dir)

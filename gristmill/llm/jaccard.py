@@ -464,7 +464,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract query: shingle counts and components of all documents."""
+    """The contract query: shingle counts and components of all documents.
+
+    Nulls, short texts, equal rows and empty tables: as in near_duplicates.
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -349,6 +349,7 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses of every document: doc_id, license, coverage, n_found, first_byte, end_byte.
 
     license is the best covered one, of the most aligned words, first by name; null if there is none.
+    Nulls, equal rows and empty tables: as in scan_licenses.
     """
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     rank = F.transform("found", lambda x: F.struct((-x["coverage"]).alias("a"), (-x["words"]).alias("b"), x["license"].alias("license"), x.alias("x")))

@@ -225,5 +225,8 @@ def pack(
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract query: the pieces of all documents, described but without their ids."""
+    """The contract query: the pieces of all documents, described but without their ids.
+
+    Nulls, equal rows and empty tables: as in pack.
+    """
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_ids=False)

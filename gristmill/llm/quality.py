@@ -262,7 +262,11 @@ def quality_cascade(
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` that the cascade keeps, with all their columns."""
+    """The rows of `docs` that the cascade keeps, with all their columns, of any names.
+
+    A null or empty text has no word and goes; equal rows stay or go together;
+    an empty table gives no rows.
+    """
     order = calibrate(docs, text, rules)
     schema = docs.schema
 
@@ -280,7 +284,10 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract query: base metrics, base_failed and the cascade's verdict for every document."""
+    """The contract query: base metrics, base_failed and the cascade's verdict for every document.
+
+    Nulls, equal rows and empty tables: as in quality_cascade.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = quality_cascade(docs, report=base)
