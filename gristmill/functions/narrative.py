@@ -18,11 +18,9 @@ GOOD_SCORE = 1.5
 
 def strip_tail(text: Column, heading: str = TAIL) -> Column:
     """The text before the last heading of the tail, if that stands beyond a fifth of it."""
-    pieces = F.split(text, heading)
-    last = F.element_at(pieces, -1)
-    tail = F.regexp_extract(text, rf"(?s)({heading})(?!.*(?:{heading})).*$", 0)
-    start = F.length(text) - F.length(tail)
-    return F.when((F.size(pieces) > 1) & last.isNotNull() & (start > F.length(text) * 0.2), F.substring(text, F.lit(1), start)).otherwise(text)
+    heads = F.regexp_extract_all(text, F.lit(heading), F.lit(0))
+    start = F.length(text) - F.length(F.element_at(F.split(text, heading), -1)) - F.length(F.try_element_at(heads, F.lit(-1)))
+    return F.when((F.size(heads) > 0) & (start > F.length(text) * 0.2), F.substring(text, F.lit(1), start)).otherwise(text)
 
 
 def _once(value: Column, use) -> Column:

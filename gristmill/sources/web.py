@@ -252,6 +252,8 @@ def manifest_for(projects: list[str], get: Get, explicit: str | None = None) ->
     for project in [explicit] if explicit else projects:
         rows = run_manifest(project, get)
         if rows:
+            if len(rows) > MOST_RUNS:
+                warnings.append(f"{project}: {MOST_RUNS} runs read, the archive may have more")
             return rows, warnings
         warnings.append(f"{project}: no runs")
     return None, warnings

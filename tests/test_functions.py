@@ -138,3 +138,27 @@ def test_markup():
     assert found["text"] == "TITLE: T" and not found["has_body"]
     assert markup.supplement_links(found["element"], "http://x/bin") == [("a.csv", "http://x/bin/a.csv")]
     assert markup.article("<broken") is None
+
+
+def test_narrative_score_is_one_rule_in_both_places(spark):
+    import random
+
+    from gristmill.sources import web
+
+    rng = random.Random(12)
+    bits = ["Introduction", "results ", "Methods\n", "k__Bacteria\n", "GCF_12\n", "plain words here\n", "\nReferences\n", "\n  bibliography \n", "\n\n", "x" * 900 + "\n", "\r\n", "Discussion of it. "]
+    texts = ["", " \n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(120)]
+    rows = [(t, rng.choice(["pmc_fulltext", "other"])) for t in texts]
+    got = one(spark, rows, "t string, s string", "t", "s", narrative.narrative_score(F.col("t"), F.col("s")).alias("score"))
+    assert len(got) == len(rows)
+    for text, source, score in got:
+        assert score == pytest.approx(web.narrative_value(text, source)), text
+
+
+def test_a_manifest_at_its_limit_is_warned_of(monkeypatch):
+    from gristmill.sources import web
+
+    monkeypatch.setattr(web, "MOST_RUNS", 3)
+    page = "run_accession\tx\n" + "".join(f"R{i}\t{i}\n" for i in range(3))
+    rows, warnings = web.manifest_for(["P"], lambda url: page.encode())
+    assert len(rows) == 4 and len(warnings) == 1 and "3 runs" in warnings[0]
