@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +44,25 @@ def _path(spark: SparkSession, name: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: Sequence[str] = (), folder: str | None = None) -> DataFrame:
     """Writes df as a table of the shared folder and reads it again.
 
     This cuts the lineage: losing an executor afterwards costs only a reread.
     What the plan shuffled is deleted as soon as the table stands.  The table
-    goes with discard(), or else when the driver ends.
+    goes with discard(), or else when the driver ends; one written to a given
+    `folder`, which must not exist, stays.  It may be partitioned by its last columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = folder or f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    system, where = _path(spark, path)
-    system.deleteOnExit(where)
+    if folder is None:
+        system, where = _path(spark, path)
+        system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,11 @@ old shard to each new one.  Every old shard is a row of blocks (groups of
 documents, or files); prefix sums over blocks, then inside them, give each
 document its place, and the flow cuts the row into stretches: the first stays,
 each other goes to one new shard.  So whole blocks move, and only the few
-blocks at a cut are split between documents.
+blocks at a cut are split between documents.  The documents themselves, with all
+their columns, are then shuffled by block and written to their new shards.
 
-The driver holds one row an old shard (for stored files, one a file).
+The driver holds one row an old shard (for stored files, one a file), and what
+Spark broadcasts of the table of blocks.
 """
 
 from __future__ import annotations
@@ -101,25 +103,31 @@ def _sections(spark: SparkSession, flow: np.ndarray) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, flow: np.ndarray, name: str) -> DataFrame:
-    """rows (old, block, number, size, ...) with shard and slot, as a table of the shared folder.
+    """rows (old, block, number, size, ...) with shard and slot.
 
-    A document goes where its middle byte lies; slots follow old shard, block and number.
+    A document goes where its middle byte lies; slots follow old shard, block and
+    number.  Sizes alone are shuffled to count what each shard takes of a block,
+    then whole rows are shuffled once, by block.
     """
     spark = rows.sparkSession
     before = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
-    bases = blocks.select("old", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    sizes = rows.select("old", "block", "number", "size")
+    blocks = sizes.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
+    bases = materialize(blocks.select("old", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base")), f"{name}-bases")
     inside = Window.partitionBy("old", "block").orderBy("number")
     until = F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.join(bases, ["old", "block"]).withColumns({"middle": 2 * until - F.col("size"), "row": F.row_number().over(inside)})
-    # a row an old shard, with the few new shards that it gives to
-    cut = placed.join(F.broadcast(_sections(spark, flow)), "old")
     shard = F.get("shards", F.size(F.filter("ends", lambda e: 2 * e <= F.col("middle"))))
-    ranked = materialize(cut.withColumn("shard", shard).drop("base", "middle", "ends", "shards"), f"{name}-ranked")
-    groups = ranked.groupBy("shard", "old", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    sections = F.broadcast(_sections(spark, flow))  # a row an old shard, with the few new shards that it gives to
+
+    def cut(rows: DataFrame) -> DataFrame:
+        placed = rows.join(bases, ["old", "block"]).withColumns({"middle": 2 * until - F.col("size"), "row": F.row_number().over(inside)})
+        return placed.join(sections, "old").withColumn("shard", shard).drop("base", "middle", "ends", "shards")
+
+    groups = cut(sizes).groupBy("shard", "old", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     earlier = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("shard", "old", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("start"))
-    return ranked.join(starts, ["shard", "old", "block"]).withColumn("slot", F.col("start") + F.col("row")).drop("start", "row")
+    starts = materialize(starts, f"{name}-starts")
+    return cut(rows).join(starts, ["shard", "old", "block"]).withColumn("slot", F.col("start") + F.col("row")).drop("start", "row")
 
 
 def text_bytes(text: Column) -> Column:
@@ -137,29 +145,47 @@ def reshard(
     text: str = "text",
     key: str = "doc_id",
     block_bytes: int = BLOCK_BYTES,
+    folder: str | None = None,
 ) -> DataFrame:
-    """One row for each document: key, size, text_crc32, old_shard, shard, slot.
-
-    `old` is the old shard, 0 .. old_shards - 1.  Either `shards` new shards get
-    even capacities, or `capacities` has bytes for each.  A new shard's bytes
-    differ from what the flow gives it by half a document at most for each old
-    shard that it is cut from.  Slots are gapless from 0 in each shard.  A null
-    text has size 1; null, equal and any sortable keys count as rows of their
-    own; an empty table gives no rows.  Columns other than `key`, `text` and
-    those of `old` are not read.
+    """Writes all documents to their new shards, as folder/shard=K/*.parquet, and returns them as stored there.
+
+    A stored row has all columns of the document, old_shard, slot and shard, in
+    place of columns of docs that had these names; what is returned has size and
+    text_crc32 besides, of the text as stored.  Files hold documents in order of
+    slot.  Without `folder` the shards lie in the shared folder until the driver
+    ends.  rewrite() may take them further; it moves rows as they are, old_shard
+    and slot included.
+
+    `old` is the old shard, 0 .. old_shards - 1; others and null are an error.
+    Either `shards` new shards get even capacities, or `capacities` has bytes for
+    each.  A new shard's bytes differ from what the flow gives it by half a
+    document at most for each old shard that it is cut from.  Slots are gapless
+    from 0 in each shard.  A null text has size 1; null, equal and any sortable
+    keys count as rows of their own; an empty table gives no rows.
     """
-    plain = docs.select(F.col(key).alias("key"), old.cast("int").alias("old"), text_bytes(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("crc"))
-    narrow = materialize(numbered(plain, "key", "crc", "number"), "reshard")
+    told = {"old_shard", "slot", "shard"}
+    if {key.lower(), text.lower()} & (told | {"size", "text_crc32"}):
+        raise ValueError(f"{key} or {text} would be replaced by a column of the result")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    crc = F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    taken = materialize(docs.select(F.col(key).alias("key"), old.cast("int").alias("old"), text_bytes(F.col(text)).alias("size"), crc.alias("crc"), own.alias("doc")), "reshard")
+    rows = numbered(taken, "key", "crc", "number").drop("key", "crc")
+    if not set(rows.inputFiles()) & set(taken.inputFiles()):  # it was written anew with its numbers
+        discard(taken)
     supplies = [0] * old_shards
-    for r in narrow.groupBy("old").agg(F.sum("size").alias("bytes")).collect():
+    for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect():
+        if r.old is None or not 0 <= r.old < old_shards:
+            raise ValueError(f"old shard {r.old} is not in 0 .. {old_shards - 1}")
         supplies[r.old] = r.bytes
     capacities = list(capacities) if capacities is not None else even_capacities(sum(supplies), shards)
     flow = min_cost_flow(supplies, capacities, staying_is_free(old_shards, len(capacities)) if cost is None else cost)
     counts = F.array(*[F.lit(max(LEAST_BLOCKS, -(-s // block_bytes))) for s in supplies])
     block = F.pmod(F.xxhash64("number"), F.get(counts, F.col("old")))
-    dealt = _dealt(narrow.withColumn("block", block), flow, "reshard")
-    discard(narrow)
-    return dealt.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", "slot")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in told]
+    dealt = _dealt(rows.withColumn("block", block), flow, "reshard").select(*kept, F.col("old").alias("old_shard"), "slot", "shard")
+    stored = materialize(dealt.sortWithinPartitions("shard", "slot"), "shards", ["shard"], folder)
+    discard(rows)
+    return stored.withColumns({"size": text_bytes(F.col(text)), "text_crc32": crc})
 
 
 # ------------------------------------------------------------- stored shards
@@ -220,7 +246,7 @@ def rewrite(spark: SparkSession, folder: str, shards: int | None = None, capacit
         discard(narrow)
         return report
     numbers = spark.createDataFrame([(r.file, k) for k, r in enumerate(files)], "file string, block long")
-    dealt = _dealt(narrow.join(numbers, "file"), flow, "stored").select("old", "file", "number", "shard")
+    dealt = materialize(_dealt(narrow.join(numbers, "file"), flow, "stored").select("old", "file", "number", "shard"), "stored-dealt")
     ways = dealt.groupBy("old", "file").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("low <> old OR high <> old").collect()
     cut = [r.file for r in ways if r.low != r.high]
     moves = [(r.file, f"{folder}/shard={r.low}/{uuid.uuid4().hex}.parquet") for r in ways if r.low == r.high]
@@ -229,7 +255,7 @@ def rewrite(spark: SparkSession, folder: str, shards: int | None = None, capacit
         here = spark.read.option("basePath", folder).parquet(*cut).withColumns({"#file": F.col("_metadata.file_path"), "#number": F.col("_metadata.row_index")})
         at = dealt.where(F.col("file").isin(cut)).select(F.col("file").alias("#file"), F.col("number").alias("#number"), F.col("shard").alias("#to"))
         pieces = here.join(at, ["#file", "#number"]).repartition("#file", "#to").sortWithinPartitions("#file", "#to", "#number")
-        pieces.select(*names, F.col("#to").alias("shard")).write.partitionBy("shard").parquet(f"{folder}/_next/data")
+        pieces.select(*[f"`{c}`" for c in names], F.col("#to").alias("shard")).write.partitionBy("shard").parquet(f"{folder}/_next/data")
         for to in range(len(capacities)):
             _, made = _path(spark, f"{folder}/_next/data/shard={to}")
             if system.exists(made):
@@ -251,11 +277,12 @@ OLD_SHARDS = 6
 
 
 def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract query: all documents of six shards by key hash brought to eight shards of even bytes.
+    """The contract query: all documents of six shards by key hash written to eight shards of even bytes.
 
+    Whole documents are written; what is returned is read from the new shards.
     Nulls, equal rows and empty tables: as in reshard.  A null doc_id stood in shard 0.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     old = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS)), F.lit(0))
     out = reshard(docs, old, OLD_SHARDS, SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

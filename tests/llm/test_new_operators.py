@@ -6,7 +6,7 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -331,6 +331,44 @@ def test_reshard_edges(spark, odd_docs):
     assert sorted(count.values()) == [750] * 4
 
 
+def test_reshard_stores_whole_documents_in_their_shards(spark, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    more = odd_docs.withColumns({"a b.c": F.array(F.lit(1), F.lit(None)), "shard": F.lit("replaced"), "size": F.lit("stays in the files")})
+    folder = f"file://{tmp_path}/shards"
+    got = resharding.reshard(more, F.coalesce(F.col("doc_id") % 2, F.lit(0)), 2, 3, folder=folder).collect()
+    files = spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).collect()
+    names = ["doc_id", "text", "runs", "n_words", "k0", "a b.c"]
+    assert {r.size for r in files} == {"stays in the files"}
+    assert Counter(str([r[c] for c in names]) for r in files) == Counter(str([r[c] for c in names]) for r in more.collect())
+    assert sorted(str([r[c] for c in (*names, "old_shard", "shard", "slot")]) for r in files) == sorted(str([r[c] for c in (*names, "old_shard", "shard", "slot")]) for r in got)
+    assert all((r.size, r.text_crc32) == (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in got)
+    for file in {r.file for r in files}:
+        slots = [r.slot for r in sorted(files, key=lambda r: r.row) if r.file == file]
+        assert slots == sorted(slots)
+    resharding.rewrite(spark, folder, 2)
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(folder).collect()) == Counter((r.doc_id, r.text) for r in got)
+
+
+@here
+def test_op13_is_read_from_stored_shards(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = QUERIES["op13_resharding"](spark, SMALL)
+    files = got.inputFiles()
+    assert files and all(re.search(r"/shard=[0-7]/[^/]+$", f) for f in files)
+    moved = spark.read.option("basePath", files[0].rsplit("/", 2)[0]).parquet(*files).collect()
+    assert len(moved) == len(docs) and all(r[c] == docs[r.doc_id][c] for r in moved for c in docs[r.doc_id].asDict())
+    assert {(r.doc_id, r.shard, r.slot) for r in moved} == {(r.doc_id, r.shard, r.slot) for r in got.collect()}
+
+
+@pytest.mark.parametrize("old", [-1, 3, None])
+def test_reshard_refuses_an_unknown_old_shard(spark, odd_docs, old):
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError):
+        resharding.reshard(odd_docs, F.when(F.col("doc_id") == 5, F.lit(old).cast("int")).otherwise(0), 3, 2)
+
+
 def stored(spark, folder):
     table = spark.read.parquet(folder).selectExpr("doc_id", "text", "shard", "_metadata.file_path AS file").collect()
     size = defaultdict(int)
