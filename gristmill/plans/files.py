@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..shared import scratch
+from ..shared import scratch, written
 from ..sources import grid as grids
 from ..sources import layout
 from .queries import _map, _t, query
@@ -63,7 +63,7 @@ def ingested_files(spark, d):
     lines = F.array(F.struct(F.lit(0).alias("at"), F.lit("Name\tNation").alias("line")), F.struct(F.lit(1).alias("at"), F.concat_ws("\t", "s_name", "s_nationkey").alias("line")))
     folder = scratch(spark)
     sinks.write_named(_t(spark, d, "supplier").select(name.alias("name"), F.inline(lines)), folder, "\n")
-    parts = grids.read_files(spark, folder)
+    parts = written(grids.read_files(spark, folder))  # so that the files are opened once
     sizes = grids.grids(parts).groupBy(F.col("table_id").alias("name")).agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).cast("long").alias("width"))
     out = grids.ingest_log(parts).join(grids.texts(parts), "name", "left").join(sizes, "name", "left")
     return out.select("name", "status", "reason", "block", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "width")

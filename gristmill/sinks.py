@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import typed
+from .sources.grid import _exactly
 
 #: Fields that identify a record rather than describe it; reports list them last.
 IDENTIFIERS = frozenset({"study_name", "sample_id", "subject_id", "pmid", "curator", "ncbi_accession", "host_species", "uncurated_metadata"})
@@ -76,28 +81,90 @@ def write_named(lines: DataFrame, folder: str, line_end: str = "\r\n") -> int:
     A task streams a file's lines, sorted, to a staging folder.  Only when all
     are there are they renamed, each to its exact name, replacing what has it;
     a failed job leaves the folder as it was.  Equal input gives equal bytes if
-    `at` tells the lines of a name apart.
+    `at` tells the lines of a name apart.  Files of a file: folder are opened and
+    renamed by the tasks; in any other store Spark's writer makes them, a folder
+    each, and the driver renames them one by one.
     """
     spark = lines.sparkSession
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(folder)
     system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     staging = jvm.org.apache.hadoop.fs.Path(base, f"_staging-{uuid.uuid4().hex}")
-    keyed = lines.select(F.lower(F.hex(F.encode("name", "UTF-8"))).alias("key"), "at", "line")
+    at = system.makeQualified(base).toUri()
     try:
-        sorted_lines = keyed.repartition("key").sortWithinPartitions("key", "at").select("key", "line")
-        sorted_lines.write.partitionBy("key").option("lineSep", line_end).text(staging.toString())
-        made = [(bytes.fromhex(d.getPath().getName()[4:]).decode(), f.getPath()) for d in system.listStatus(staging) if d.isDirectory() for f in system.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
-        wrong = [name for name, _ in made if not name or "/" in name] or [name for name, n in Counter(name for name, _ in made).items() if n > 1]
-        if wrong:
-            raise ValueError(f"no single file can have the name {wrong[0]!r}")
-        for name, part in made:
-            target = jvm.org.apache.hadoop.fs.Path(base, jvm.org.apache.hadoop.fs.Path(None, None, f"./{name}"))
-            system.delete(target, False)
-            if not system.rename(part, target):
-                raise OSError(f"{part} could not be renamed to {target}")
+        if at.getScheme() == "file":
+            return _named_by_tasks(lines, os.fsencode(at.getPath()), staging.getName(), staging.toString(), line_end)
+        return _named_by_driver(lines, base, system, staging, line_end)
     finally:
         system.delete(staging, True)
+
+
+def _named_by_tasks(lines: DataFrame, base: bytes, staging: str, url: str, line_end: str) -> int:
+    """Files of a folder that tasks can open.  `url` is the staging folder as Spark names it."""
+    end, top = line_end.encode(), os.path.join(base, staging.encode())
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = uuid.uuid4().hex
+        own, most, made, out, current = os.path.join(top, attempt.encode()), 0, [], None, None
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        try:
+            for name, line in rows:
+                if out is None or name != current:
+                    if out:
+                        out.close()
+                    else:
+                        os.makedirs(own)
+                        most = os.pathconf(own, "PC_NAME_MAX")
+                    current, out = name, open(os.path.join(own, b"%d" % len(made)), "wb")
+                    fits = name not in (None, b"", b".", b"..") and b"/" not in name and b"\0" not in name and len(name) <= most
+                    made.append((name, f"{attempt}/{len(made)}", str(os.fstat(out.fileno()).st_ino), fits))
+                out.write((line or b"") + end)
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * 4, (pa.binary(), pa.string(), pa.string(), pa.bool_()))], ["name", "part", "inode", "fits"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for name, part, inode in (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)))):
+            target = os.path.join(base, name)
+            with contextlib.suppress(OSError):  # of the file that had the name
+                os.unlink(os.path.join(base, b"." + name + b".crc"))
+            try:
+                os.replace(os.path.join(top, part.encode()), target)
+            except FileNotFoundError:  # an earlier attempt of this task has placed it
+                if str(os.stat(target).st_ino) != inode:
+                    raise
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    schema = "name binary, part string, inode string, fits boolean"
+    keyed = lines.select(F.encode("name", "UTF-8").alias("name"), "at", F.col("line").cast("string").cast("binary").alias("line"))
+    spark = lines.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a given number stays, though the bytes be few
+    keyed.repartition(n, "name").sortWithinPartitions("name", "at").select("name", "line").mapInArrow(stage, schema).write.parquet(f"{url}/names")
+    names = spark.read.schema(schema).parquet(_exactly(f"{url}/names"))
+    wrong = names.where("NOT fits").select("name").first()
+    if wrong:
+        raise ValueError(f"no single file can have the name {None if wrong.name is None else bytes(wrong.name).decode('utf-8', 'replace')!r}")
+    return names.select("name", "part", "inode").mapInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _named_by_driver(lines: DataFrame, base, system, staging, line_end: str) -> int:
+    """Files of a store that Spark reaches and tasks' own code may not."""
+    path = lines.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    keyed = lines.select(F.lower(F.hex(F.encode("name", "UTF-8"))).alias("key"), "at", "line")
+    sorted_lines = keyed.repartition("key").sortWithinPartitions("key", "at").select("key", "line")
+    sorted_lines.write.partitionBy("key").option("lineSep", line_end).text(staging.toString())
+    made = [(bytes.fromhex(d.getPath().getName()[4:]).decode(), f.getPath()) for d in system.listStatus(staging) if d.isDirectory() for f in system.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+    wrong = [name for name, _ in made if not name or "/" in name] or [name for name, n in Counter(name for name, _ in made).items() if n > 1]
+    if wrong:
+        raise ValueError(f"no single file can have the name {wrong[0]!r}")
+    for name, part in made:
+        target = path(base, path(None, None, f"./{name}"))
+        system.delete(target, False)
+        if not system.rename(part, target):
+            raise OSError(f"{part} could not be renamed to {target}")
     return len(made)
 
 

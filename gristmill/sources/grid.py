@@ -5,6 +5,7 @@ grid: table_id, row_idx, cells array<string>.  Rows may be ragged; order is in r
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import strip
-from .quoted import read_quoted
+from .quoted import _batches, _schema, read_quoted, rows_of
 
 #: Extensions that are read, and those of images that are passed over.
 TABLES = {".csv": ",", ".tsv": "\t"}
@@ -27,6 +28,8 @@ IMAGES = (".eps", ".gif", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".svg")
 SUPPLEMENTS = (".xlsx", ".csv", ".tsv")
 
 GRID = T.StructType([T.StructField("table_id", T.StringType()), T.StructField("row_idx", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+#: A file of no more bytes is read whole: one pass over many small files, and no plan of ranges for each.
+WHOLE_BYTES = 1 << 20
 #: Rows of a grid that one task numbers.
 SPAN_ROWS = 1 << 16
 PARTS = "name string, status string, reason string, text string, table_id string, row_idx long, cells array<string>"
@@ -75,13 +78,15 @@ def workbook(blob: bytes) -> list[tuple[str, list[list[str]]]]:
 
 
 def _parts(name: str, blob: bytes) -> Iterator[tuple]:
-    """Rows of PARTS for one file that is not delimited: its tables, its text, or why it is passed over."""
+    """Rows of PARTS for one file that is read whole: its tables, its text, or why it is passed over."""
     suffix = _suffix(name)
     try:
         if suffix in IMAGES:
             yield name, "skipped", f"image ({suffix})", None, None, None, None
             return
-        if suffix == ".xlsx":
+        if suffix in TABLES:
+            sheets = [(name, rows_of(blob.removeprefix(codecs.BOM_UTF8).decode("utf-8", "replace"), TABLES[suffix]))]
+        elif suffix == ".xlsx":
             found = workbook(blob)
             sheets = [(f"{name}::{s}" if len(found) > 1 else name, rows) for s, rows in found]
         elif suffix in TEXTS:
@@ -114,26 +119,23 @@ def _exactly(path: str) -> str:
 def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Rows of PARTS for all files of a folder: one that names each file's status, and one for each grid row.
 
-    Delimited files are read in byte ranges, so a large one is many tasks' work;
-    any other file is a row and a task.  The driver holds a name a file.
+    Delimited files beyond WHOLE_BYTES are read in byte ranges, so a large one is
+    many tasks' work; any other file is a row of one task, small ones many to a
+    task.  The driver holds a name for each file beyond WHOLE_BYTES.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    paths = [r.path for r in listed.select("path").collect()]
-    out = []
-    rest = [p for p in paths if _suffix(p) not in TABLES]
-    if rest:
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["name", "status", "reason", "text", "table_id", "row_idx", "cells"]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
-            for batch in batches:
-                for file, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    rows = list(_parts(file.rsplit("/", 1)[-1], blob.as_py()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = (file for batch in batches for file in zip(batch.column(0).to_pylist(), batch.column(1)))
+        return _batches((row for file, blob in files for row in _parts(file.rsplit("/", 1)[-1], blob.as_py())), _schema(PARTS))
 
-        blobs = spark.read.format("binaryFile").load([_exactly(p) for p in rest])
-        out.append(blobs.select("path", "content").mapInArrow(run, PARTS))
+    small = listed.where(F.col("length") <= WHOLE_BYTES).select("path", "content")
+    out = [small.hint("rebalance", spark.sparkContext.defaultParallelism).mapInArrow(run, PARTS)]  # a scan's task holds some 30 files, however small
+    paths = [r.path for r in listed.where(F.col("length") > WHOLE_BYTES).select("path").collect()]
+    rest = [p for p in paths if _suffix(p) not in TABLES]
+    if rest:
+        out.append(spark.read.format("binaryFile").load([_exactly(p) for p in rest]).select("path", "content").mapInArrow(run, PARTS))
     for suffix, delimiter in TABLES.items():
         tables = [p for p in paths if _suffix(p) == suffix]
         if tables:
@@ -143,7 +145,7 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str | None = No
             none = F.lit(None).cast("string")
             body = rows.select(name.alias("name"), F.lit("table").alias("status"), none.alias("reason"), none.alias("text"), name.alias("table_id"), "row_idx", "cells")
             out += [spark.createDataFrame(names, PARTS), body]
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], PARTS)
+    return reduce(DataFrame.unionByName, out)
 
 
 def grids(parts: DataFrame) -> DataFrame:

@@ -88,3 +88,19 @@ def test_names_are_taken_as_they_are(spark, tmp_path):
     assert {r.table_id for r in grid.grids(parts).collect()} == {"a b+c[1]%20é.CSV", "*.tsv", "{x}.csv"}
     (tmp_path / "none").mkdir()
     assert grid.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 400])
+def test_whole_files_have_the_rows_of_their_ranges(spark, tmp_path, cut, monkeypatch, size):
+    rng = random.Random(size)
+    texts = {f"f{k}.{('csv', 'Tsv')[k % 2]}": "".join(rng.choice([*PIECES, "\t"]) for _ in range(rng.randint(1, 60))) for k in range(8)}
+    texts |= {"mark.csv": "\ufeffh,g\n1,2\n", "mac.csv": 'a,b\rc,"d\re"\rf\n', "open.csv": 'a,b\n"never\nclosed', "n.txt": "words", "p.pdf": "x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode() + b"\xff" * (name == "f0.csv"))
+    cut(size)
+    got = []
+    for most in (grid.WHOLE_BYTES, 20, 0):
+        monkeypatch.setattr(grid, "WHOLE_BYTES", most)
+        got.append(sorted((r.name, r.status, r.reason or "", r.text or "", r.table_id or "", -1 if r.row_idx is None else r.row_idx, r.cells or []) for r in grid.read_files(spark, str(tmp_path)).collect()))
+    assert got[0] == got[1] == got[2]
+    assert [r[6] for r in got[0] if r[4] == "mark.csv"] == [["h", "g"], ["1", "2"]] and {r[0] for r in got[0]} == set(texts)
